@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 GROUP_LIMIT_K = 1000
 SALTS = 64
 
+# A group with more rows than this is not ranked by one task.
+HOT_ROWS = 1_000_000
+
 # Leading hex digits of a row's md5 that name its slot: 16 ** 3 slots per value.
 SLOT_DIGITS = 3
 
@@ -50,6 +53,27 @@ def top_k(
     return ranked.where(F.col(rank_col) <= k).withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
 
+def split_hot(
+    rows: DataFrame, key: str, hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary groups and rows of hot ones, by exact row counts.
+
+    There are at most (all rows / ``hot_rows``) hot groups, which bounds the list
+    of their names that is broadcast: a million names for 10 ** 12 rows.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(counts.where(F.col("_n") > hot_rows).select(key))
+    return rows.join(hot, key, "left_anti"), rows.join(hot, key, "left_semi")
+
+
+def ntile(
+    rows: DataFrame, keys: Sequence[str], value: str, id_col: str, tiles: int, out: str
+) -> DataFrame:
+    """NTILE(tiles) per group in order of (value, md5(id), id), one task per group."""
+    window = W.partitionBy(*keys).orderBy(value, F.md5(id_col), id_col)
+    return rows.withColumn(out, F.ntile(tiles).over(window).cast("bigint"))
+
+
 def value_percent_rank(
     counts: DataFrame,
     keys: Sequence[str],
@@ -76,7 +100,7 @@ def value_percent_rank(
 def spread_ntile(
     rows: DataFrame, keys: Sequence[str], value: str, id_col: str, tiles: int, out: str
 ) -> DataFrame:
-    """NTILE(tiles) per group in order of (value, md5(id), id).
+    """The same tiles as ``ntile`` for groups of any size.
 
     Rows are counted per (group, value, md5 prefix); a running sum over those
     counts says how many rows stand before each such slot, and a row number

@@ -10,6 +10,10 @@ Paper ids must be unique; with ``shard_col`` they need only be unique within a
 shard, the join stays inside a shard, and the tiles of the temporal and coverage
 strategies are formed per shard.
 
+Top-k cuts itself down before it shuffles. Tiles and percent ranks need a whole
+concept at once, so concepts with more than ``hot_rows`` edges take another way
+to the same result, in which no task sees a whole concept.
+
 Ties are broken by paper_id (for tiles: by md5 of it), so results are stable.
 """
 
@@ -23,7 +27,14 @@ from pyspark.sql import functions as F
 
 from citeweave import constants as C
 from citeweave.functions.text import has_text
-from citeweave.operators.ranking import spread_ntile, top_k, value_percent_rank
+from citeweave.operators.ranking import (
+    HOT_ROWS,
+    ntile,
+    split_hot,
+    spread_ntile,
+    top_k,
+    value_percent_rank,
+)
 from citeweave.session import ensure_checkpoint_dir
 
 # An IN-list longer than this becomes a semi-join.
@@ -34,6 +45,13 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 PAPER_ID = "paper_id"
 
+# What the hybrid score ranks, and the name of each rank.
+SIGNALS = {
+    "cited_by_count": "citation_prank",
+    "publication_year": "recency_prank",
+    "num_matched_concepts": "breadth_prank",
+}
+
 
 def citation_count(
     papers: DataFrame,
@@ -79,6 +97,7 @@ def temporal_diversity(
     shard_col: str | None = None,
     stage: bool = False,
     time_buckets: int = C.TIME_BUCKETS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Most cited papers of each of ``time_buckets`` equal slices of the years.
 
@@ -86,16 +105,14 @@ def temporal_diversity(
     the slice.
     """
     dated = papers.where(F.col("publication_year").isNotNull())
-    rows = _tagged(dated, edges, concepts, shard_col, ["publication_year", "cited_by_count"])
-    tiled = spread_ntile(
-        rows, _tile_keys(shard_col), "publication_year", PAPER_ID, time_buckets, "time_bucket"
-    )
-    chosen = top_k(
-        tiled,
-        ["concept", "time_bucket"],
-        [_most_cited(), F.asc(PAPER_ID)],
-        max(1, k // time_buckets),
-        PAPER_ID,
+    chosen = _best_of_tiles(
+        dated, edges, concepts, shard_col, hot_rows,
+        columns=["publication_year", "cited_by_count"],
+        value="publication_year",
+        tiles=time_buckets,
+        tile_col="time_bucket",
+        k=F.lit(max(1, k // time_buckets)),
+        max_k=max(1, k // time_buckets),
     )
     return _with_text(chosen, papers, shard_col, stage)
 
@@ -107,6 +124,7 @@ def coverage_diversity(
     concepts: Sequence[str] | None = None,
     shard_col: str | None = None,
     stage: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Most cited papers among narrow, medium and broad ones.
 
@@ -117,20 +135,13 @@ def coverage_diversity(
     outer = k // C.BREADTH_TIERS
     middle = k - 2 * outer
     cited = papers.where(F.col("cited_by_count").isNotNull())
-    rows = _tagged(
-        cited, edges, concepts, shard_col,
-        ["publication_year", "cited_by_count", _breadth()],
-    )
-    tiled = spread_ntile(
-        rows, _tile_keys(shard_col), "num_matched_concepts", PAPER_ID, C.BREADTH_TIERS,
-        "breadth_tier",
-    )
-    chosen = top_k(
-        tiled,
-        ["concept", "breadth_tier"],
-        [_most_cited(), F.asc(PAPER_ID)],
-        F.when(F.col("breadth_tier") == 2, F.lit(middle)).otherwise(F.lit(outer)),
-        PAPER_ID,
+    chosen = _best_of_tiles(
+        cited, edges, concepts, shard_col, hot_rows,
+        columns=["publication_year", "cited_by_count", _breadth()],
+        value="num_matched_concepts",
+        tiles=C.BREADTH_TIERS,
+        tile_col="breadth_tier",
+        k=F.when(F.col("breadth_tier") == 2, F.lit(middle)).otherwise(F.lit(outer)),
         max_k=max(outer, middle),
     )
     return _with_text(chosen, papers, shard_col, stage)
@@ -144,33 +155,25 @@ def hybrid(
     shard_col: str | None = None,
     stage: bool = False,
     score_digits: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Lowest weighted sum of the percent ranks of citations, year and breadth.
+    """Lowest weighted sum of the percent ranks of citations, year and breadth."""
+    common, hot = split_hot(_of_concepts(edges, concepts), "concept", hot_rows)
+    order = [F.asc_nulls_last("composite_score"), F.asc(PAPER_ID)]
+    columns = ["publication_year", "cited_by_count", _breadth()]
 
-    The sum depends on (citations, year, breadth) alone, so it is worked out per
-    distinct triple of a concept. Triples that have k or more better triples are
-    dropped (each better triple holds a paper), and only papers of the remaining
-    ones are ranked. Pruning this way needs no window over all papers of a
-    concept.
-    """
-    signals = ["publication_year", "cited_by_count", "num_matched_concepts"]
-    rows = _tagged(
-        papers, edges, concepts, shard_col, ["publication_year", "cited_by_count", _breadth()]
-    )
-    scored = _hybrid_scores(rows, score_digits)
-    better = F.rank().over(W.partitionBy("concept").orderBy("composite_score"))
-    contenders = scored.withColumn("_better", better).where(F.col("_better") <= k)
-    contenders = contenders.select(
-        F.col("concept").alias("_concept"),
-        *[F.col(s).alias(f"_{s}") for s in signals],
-        "composite_score",
+    ranked = _tagged(papers, common, None, shard_col, columns)
+    for value, out in SIGNALS.items():
+        window = W.partitionBy("concept").orderBy(F.desc_nulls_last(value))
+        ranked = ranked.withColumn(out, F.percent_rank().over(window))
+    scored = ranked.withColumn("composite_score", _composite(score_digits)).drop(*SIGNALS.values())
+    chosen = top_k(scored, ["concept"], order, k, PAPER_ID)
+
+    contenders = _hot_contenders(
+        _tagged(papers, hot, None, shard_col, columns), k, score_digits
     )
-    same = F.col("concept") == F.col("_concept")
-    for s in signals:
-        same = same & F.col(s).eqNullSafe(F.col(f"_{s}"))
-    rows = rows.join(contenders, same).drop("_concept", *[f"_{s}" for s in signals])
-    order = [F.asc_nulls_last("composite_score"), F.asc(PAPER_ID)]
-    return _with_text(top_k(rows, ["concept"], order, k, PAPER_ID), papers, shard_col, stage)
+    hot_chosen = top_k(contenders, ["concept"], order, k, PAPER_ID)
+    return _with_text(chosen.unionByName(hot_chosen), papers, shard_col, stage)
 
 
 def random_sample(
@@ -322,11 +325,7 @@ def _signal_ranks(rows: DataFrame) -> DataFrame:
         "concept", "cited_by_count", "publication_year", "num_matched_concepts"
     ).agg(F.count(F.lit(1)).alias("n_papers"))
     ranked = triples
-    for value, out in (
-        ("cited_by_count", "citation_prank"),
-        ("publication_year", "recency_prank"),
-        ("num_matched_concepts", "breadth_prank"),
-    ):
+    for value, out in SIGNALS.items():
         shares = value_percent_rank(triples, ["concept"], value, "n_papers", out).select(
             F.col("concept").alias("_c"), F.col(value).alias("_v"), out
         )
@@ -335,17 +334,60 @@ def _signal_ranks(rows: DataFrame) -> DataFrame:
     return ranked
 
 
-def _hybrid_scores(rows: DataFrame, score_digits: int | None) -> DataFrame:
-    score = (
+def _hot_contenders(rows: DataFrame, k: int, score_digits: int | None) -> DataFrame:
+    """Rows that can be among a hot concept's best k, with their composite score.
+
+    The score depends on (citations, year, breadth) alone, so it is worked out
+    per distinct triple of a concept. A triple with k or more better triples is
+    out, since each of those holds a paper.
+    """
+    scored = _signal_ranks(rows).withColumn("composite_score", _composite(score_digits))
+    better = F.rank().over(W.partitionBy("concept").orderBy("composite_score"))
+    triples = scored.withColumn("_better", better).where(F.col("_better") <= k)
+    triples = triples.select(
+        F.col("concept").alias("_concept"),
+        *[F.col(s).alias(f"_{s}") for s in SIGNALS],
+        "composite_score",
+    )
+    same = F.col("concept") == F.col("_concept")
+    for signal in SIGNALS:
+        same = same & F.col(signal).eqNullSafe(F.col(f"_{signal}"))
+    return rows.join(triples, same).drop("_concept", *[f"_{s}" for s in SIGNALS])
+
+
+def _composite(digits: int | None) -> Column:
+    return _rounded(
         C.HYBRID_WEIGHT_CITATIONS * F.col("citation_prank")
         + C.HYBRID_WEIGHT_RECENCY * F.col("recency_prank")
-        + C.HYBRID_WEIGHT_BREADTH * F.col("breadth_prank")
+        + C.HYBRID_WEIGHT_BREADTH * F.col("breadth_prank"),
+        digits,
     )
-    return _signal_ranks(rows).withColumn("composite_score", _rounded(score, score_digits))
 
 
-def _tile_keys(shard_col: str | None) -> list[str]:
-    return ([shard_col] if shard_col else []) + ["concept"]
+def _best_of_tiles(
+    papers: DataFrame,
+    edges: DataFrame,
+    concepts: Sequence[str] | None,
+    shard_col: str | None,
+    hot_rows: int,
+    columns: Sequence[str | Column],
+    value: str,
+    tiles: int,
+    tile_col: str,
+    k: Column,
+    max_k: int,
+) -> DataFrame:
+    """Most cited papers of every tile of every concept."""
+    common, hot = split_hot(_of_concepts(edges, concepts), "concept", hot_rows)
+    keys = ([shard_col] if shard_col else []) + ["concept"]
+    picked = []
+    for part, cut in ((common, ntile), (hot, spread_ntile)):
+        tiled = cut(
+            _tagged(papers, part, None, shard_col, columns), keys, value, PAPER_ID, tiles, tile_col
+        )
+        order = [_most_cited(), F.asc(PAPER_ID)]
+        picked.append(top_k(tiled, ["concept", tile_col], order, k, PAPER_ID, max_k=max_k))
+    return picked[0].unionByName(picked[1])
 
 
 def _most_cited() -> Column:

@@ -34,9 +34,24 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._read: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
+
+    def documents(self) -> DataFrame:
+        """Documents spread over the cores if they come in fewer files than that.
+
+        Working through a text costs far more than moving it; a table of many
+        files is spread already and stays where it is.
+        """
+        documents = self["documents"]
+        cores = self.spark.sparkContext.defaultParallelism
+        if len(documents.inputFiles()) < cores:
+            return documents.repartition(cores, "doc_id")
+        return documents
 
     def dictionary(self) -> DataFrame:
         return self.spark.createDataFrame([(c,) for c in DICTIONARY], "concept string")
@@ -117,7 +132,7 @@ def tagged_orders(t: Tables) -> DataFrame:
 
 def document_papers(t: Tables) -> DataFrame:
     """Documents as papers with the whole text as abstract."""
-    return t["documents"].select(
+    return t.documents().select(
         _document_id(),
         _first_line().alias("title"),
         F.col("text").alias("abstract"),
@@ -129,7 +144,7 @@ def document_papers(t: Tables) -> DataFrame:
 
 def document_edges(t: Tables) -> DataFrame:
     """Every document under its language and its source."""
-    return t["documents"].select(
+    return t.documents().select(
         F.explode(F.array("lang", "source")).alias("concept"),
         _document_id().alias("paper_id"),
     )
@@ -137,7 +152,7 @@ def document_edges(t: Tables) -> DataFrame:
 
 def document_texts(t: Tables) -> DataFrame:
     """id and combined title and text."""
-    return t["documents"].select(
+    return t.documents().select(
         _document_id(), "source", F.concat(_first_line(), F.lit(" "), "text").alias("text")
     )
 
@@ -148,7 +163,7 @@ def document_works(t: Tables) -> DataFrame:
     Words and positions are grouped per document, which a document bounds.
     """
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    placed = t["documents"].select("doc_id", F.posexplode(words).alias("pos", "word"))
+    placed = t.documents().select("doc_id", F.posexplode(words).alias("pos", "word"))
     index = (
         placed.groupBy("doc_id", "word")
         .agg(F.array_sort(F.collect_list("pos")).alias("positions"))
@@ -158,7 +173,7 @@ def document_works(t: Tables) -> DataFrame:
         ))
     )
     return (
-        t["documents"]
+        t.documents()
         .join(index, "doc_id", "left")
         .select(
             _document_id(),
@@ -181,7 +196,7 @@ def document_works(t: Tables) -> DataFrame:
 def document_batches(t: Tables) -> DataFrame:
     """Two batches of tagged papers: all documents, and every third one again
     later with one citation and one concept more."""
-    base = t["documents"].select(
+    base = t.documents().select(
         _document_id(),
         _first_line().alias("title"),
         _document_year().alias("publication_year"),
@@ -206,7 +221,7 @@ def dated_documents(t: Tables) -> DataFrame:
     """Documents with unknown years: null for one in ten, 0 for another."""
     ending = F.col("doc_id") % 10
     year = F.when(ending == 1, F.lit(0)).when(ending != 0, _document_year())
-    return t["documents"].select(_document_id(), year.alias("publication_year"))
+    return t.documents().select(_document_id(), year.alias("publication_year"))
 
 
 def responses(t: Tables) -> DataFrame:

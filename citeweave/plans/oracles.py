@@ -70,8 +70,17 @@ PHRASES = """dictionary AS (
 
 
 def _matches(text: str) -> str:
-    return f"""regexp_matches(lower({text}),
-      '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape(concept) || '([^\\p{{L}}\\p{{N}}]|$)')"""
+    """Whole-word containment. Run edges are marked in text and concept; a concept
+    with another character at an end is searched with its neighbours instead."""
+    alnum = "[\\p{L}\\p{N}]"
+
+    def marked(value: str) -> str:
+        return f"regexp_replace({value}, '({alnum}+)', '<<\\1>>', 'g')"
+
+    return f"""CASE WHEN regexp_matches(concept, '^{alnum}$|^{alnum}.*{alnum}$')
+    THEN contains({marked(f"lower({text})")}, {marked("concept")})
+    ELSE regexp_matches(lower({text}), '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape(concept)
+      || '([^\\p{{L}}\\p{{N}}]|$)') END"""
 
 
 def _top(order: str, columns: str = SHOWN, source: str = "base", per: str = "concept") -> str:
