@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,33 +26,55 @@ def rebuild_abstract_json(raw: str | Column) -> Column:
     where the key first stood.
     """
     raw = F.col(raw) if isinstance(raw, str) else raw
-    entries = F.map_entries(F.from_json(raw, "map<string,array<int>>"))
-    regular = F.forall(entries, lambda e: e["value"].isNotNull())
+    lists = F.map_entries(F.from_json(raw, "map<string,array<int>>"))
+    return _bind(
+        lists,
+        lambda entries: _join_words(
+            F.when(F.forall(entries, lambda e: e["value"].isNotNull()), entries).otherwise(
+                _lists_only(raw)
+            )
+        ),
+    )
+
+
+def _lists_only(raw: Column) -> Column:
+    """The index word by word; what is not a list becomes null."""
     by_word = F.map_entries(F.from_json(raw, "map<string,string>"))
-    lists = F.transform(
+    return F.transform(
         by_word,
         lambda e: F.struct(
             e["key"].alias("key"), F.from_json(e["value"], "array<int>").alias("value")
         ),
     )
-    return _join_words(F.when(regular, entries).otherwise(lists))
 
 
 def _join_words(entries: Column) -> Column:
-    keys = F.transform(entries, lambda e: e["key"])
-    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
-    entries = F.when(repeated, _last_of_each_key(entries, keys)).otherwise(entries)
+    words = _bind(
+        entries,
+        lambda some: _bind(
+            F.transform(some, lambda e: e["key"]),
+            lambda keys: _words_in_order(
+                F.when(
+                    F.size(F.array_distinct(keys)) < F.size(keys), _last_of_each_key(some, keys)
+                ).otherwise(some)
+            ),
+        ),
+    )
+    return F.coalesce(F.array_join(words, " "), F.lit(""))
+
+
+def _words_in_order(entries: Column) -> Column:
+    no_positions = F.array().cast("array<int>")
     placed = F.flatten(
         F.transform(
             entries,
             lambda e, i: F.transform(
-                F.coalesce(e["value"], F.array().cast("array<int>")),
+                F.coalesce(e["value"], no_positions),
                 lambda pos: F.struct(pos.alias("pos"), i.alias("entry"), e["key"].alias("word")),
             ),
         )
     )
-    words = F.transform(F.array_sort(placed), lambda s: s["word"])
-    return F.coalesce(F.array_join(words, " "), F.lit(""))
+    return F.transform(F.array_sort(placed), lambda s: s["word"])
 
 
 def _last_of_each_key(entries: Column, keys: Column) -> Column:
@@ -58,3 +82,8 @@ def _last_of_each_key(entries: Column, keys: Column) -> Column:
         F.array_distinct(keys),
         lambda key: F.element_at(F.filter(entries, lambda e: e["key"] == key), -1),
     )
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.transform(F.array(value), body)[0]

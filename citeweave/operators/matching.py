@@ -89,20 +89,21 @@ def match_concepts(
     prepared = prepare_dictionary(dictionary)
     low = F.lower(F.col(text))
     words = texts.where(F.col(text).isNotNull()).select(
-        *keys, low.alias("_low"), mark_runs(low).alias("_marked"), _meeting_runs(low)
+        *keys, low.alias("_low"), mark_runs(low).alias("_marked")
     )
+    # Exploding the expression itself, not a column of it: on a column Spark infers
+    # a not-empty filter, pushes it to the scan and cuts every text up three times.
+    run = F.explode(_meeting_runs(F.col("_low"))).alias("_run")
     if dictionary_bytes(dictionary) <= broadcast_bytes:
-        met = words.select(*keys, "_low", "_marked", F.explode("_runs").alias("_run")).join(
+        met = words.select(*keys, "_low", "_marked", run).join(
             F.broadcast(prepared), F.col("_run") == F.col("anchor")
         )
         return met.where(_holds()).select(*keys, "concept")
 
-    met = words.select(*keys, F.explode("_runs").alias("_run")).join(
-        prepared, F.col("_run") == F.col("anchor")
-    )
+    met = words.select(*keys, run).join(prepared, F.col("_run") == F.col("anchor"))
     certain = met.where(F.col("check") == WHOLE_RUN).select(*keys, "concept")
     unsure = met.where(F.col("check") != WHOLE_RUN).drop("_run", "anchor")
-    checked = unsure.join(words.drop("_runs"), keys).where(_holds()).select(*keys, "concept")
+    checked = unsure.join(words, keys).where(_holds()).select(*keys, "concept")
     return certain.unionByName(checked)
 
 
@@ -124,7 +125,7 @@ def dictionary_bytes(dictionary: DataFrame) -> int:
 
 def _meeting_runs(low: Column) -> Column:
     # The empty run lets concepts made of punctuation only meet every text.
-    return F.array_distinct(F.concat(runs_of(low), F.array(F.lit("")))).alias("_runs")
+    return F.array_distinct(F.concat(runs_of(low), F.array(F.lit(""))))
 
 
 def _holds() -> Column:

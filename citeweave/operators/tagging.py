@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.functions.abstracts import rebuild_abstract_json
+from citeweave.functions.abstracts import rebuild_abstract, rebuild_abstract_json
 from citeweave.functions.text import combined_text, year_in_range
 from citeweave.operators.matching import match_concepts, matched_arrays
 from citeweave.schemas import PAPER
@@ -21,7 +21,7 @@ def parse_works(
     """
     fields = {
         "title": F.coalesce("title", F.lit("")),
-        "abstract": rebuild_abstract_json("abstract_inverted_index"),
+        "abstract": _abstract(works),
         "cited_by_count": F.coalesce("cited_by_count", F.lit(0)),
         "counts_by_year": F.coalesce("counts_by_year", F.lit("[]")),
     }
@@ -31,6 +31,17 @@ def parse_works(
     return kept.withColumns(fields).drop("abstract_inverted_index", "_corrupt_record")
 
 
+def _abstract(works: DataFrame) -> Column:
+    """From the index as read, or from the whole line where reading it failed."""
+    index = F.col("abstract_inverted_index")
+    abstract = F.when(index.isNotNull(), rebuild_abstract(index))
+    if "_corrupt_record" in works.columns:
+        line = F.col("_corrupt_record")
+        raw = F.get_json_object(line, "$.abstract_inverted_index")
+        abstract = abstract.when(line.isNotNull(), rebuild_abstract_json(raw))
+    return abstract.otherwise("")
+
+
 def tag_papers(parsed: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Add matched_concepts and num_matched_concepts; papers without a hit go.
 

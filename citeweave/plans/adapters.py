@@ -158,7 +158,7 @@ def document_texts(t: Tables) -> DataFrame:
 
 
 def document_works(t: Tables) -> DataFrame:
-    """Documents as raw works, the text turned into inverted-index JSON.
+    """Documents as raw works, the text turned into an inverted index.
 
     Words and positions are grouped per document, which a document bounds.
     """
@@ -168,9 +168,11 @@ def document_works(t: Tables) -> DataFrame:
         placed.groupBy("doc_id", "word")
         .agg(F.array_sort(F.collect_list("pos")).alias("positions"))
         .groupBy("doc_id")
-        .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "positions")))).alias(
-            "abstract_inverted_index"
-        ))
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias(
+                "abstract_inverted_index"
+            )
+        )
     )
     return (
         t.documents()

@@ -2,16 +2,17 @@
 
 from pyspark.sql import types as T
 
-# One JSON object per line. The two nested fields are read as text: a STRING
-# field keeps the raw JSON of whatever is there, so an inverted index given as
-# an object and one given as a JSON string arrive in the same form, and one bad
-# position list cannot null the whole record.
+# One JSON object per line. A record whose inverted index has another shape (a
+# JSON string, or positions that are no list) loses only that field and keeps its
+# whole line in _corrupt_record, from which the abstract is read again.
 WORK = T.StructType(
     [
         T.StructField("id", T.StringType()),
         T.StructField("doi", T.StringType()),
         T.StructField("title", T.StringType()),
-        T.StructField("abstract_inverted_index", T.StringType()),
+        T.StructField(
+            "abstract_inverted_index", T.MapType(T.StringType(), T.ArrayType(T.IntegerType()))
+        ),
         T.StructField("publication_year", T.IntegerType()),
         T.StructField("publication_date", T.StringType()),
         T.StructField("type", T.StringType()),
