@@ -43,11 +43,10 @@ def usable(works: DataFrame) -> DataFrame:
 
 
 def corrupt_counts(works: DataFrame) -> DataFrame:
-    """Lines read and lines dropped, per file."""
+    """Lines read and lines dropped for want of an id (malformed ones have none), per file."""
     return works.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(F.col("id").isNull()).alias("n_dropped"),
-        F.count_if(F.col("_corrupt_record").isNotNull()).alias("n_malformed"),
     )
 
 
