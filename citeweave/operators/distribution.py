@@ -55,11 +55,16 @@ def histogram(counts: DataFrame, bins: int = C.HISTOGRAM_BINS) -> DataFrame:
     freq = _frequencies(counts)
     low, high = F.min("paper_count").cast("double"), F.max("paper_count").cast("double")
     same = low == high
-    edges = freq.agg(
-        F.when(same, low - 0.5).otherwise(low).alias("lo"),
-        F.when(same, high + 0.5).otherwise(high).alias("hi"),
-    )
-    lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
+    bounds = freq.agg(
+        F.struct(
+            F.when(same, low - 0.5).otherwise(low).alias("lo"),
+            F.when(same, high + 0.5).otherwise(high).alias("hi"),
+        ).alias("bounds")
+    ).scalar()
+
+    def with_bounds(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_b", bounds).select("*", "_b.lo", "_b.hi").drop("_b")
+
     width = (F.col("hi") - F.col("lo")) / bins
     x = F.col("paper_count")
     guess = F.least(
@@ -71,10 +76,9 @@ def histogram(counts: DataFrame, bins: int = C.HISTOGRAM_BINS) -> DataFrame:
         .when((guess < bins - 1) & (x >= F.col("lo") + (guess + 1) * width), guess + 1)
         .otherwise(guess)
     )
-    ranged = freq.withColumn("lo", lo).withColumn("hi", hi)
-    filled = ranged.groupBy(place.alias("bin")).agg(F.sum("n").alias("n_concepts"))
+    filled = with_bounds(freq).groupBy(place.alias("bin")).agg(F.sum("n").alias("n_concepts"))
     every = counts.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    every = every.withColumn("lo", lo).withColumn("hi", hi).where(F.col("lo").isNotNull())
+    every = with_bounds(every).where(F.col("lo").isNotNull())
     return every.join(filled, "bin", "left").select(
         "bin",
         (F.col("lo") + F.col("bin") * width).alias("bin_start"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 # Spark trims row_number() <= k before its shuffle only up to this k by default
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT_K = 1000
-SALTS = 64
+SALTS = 512
 
 # A group with more rows than this is not ranked by one task.
 HOT_ROWS = 1_000_000
@@ -40,19 +40,23 @@ def top_k(
     """
     limit = max_k if max_k is not None else k
     if limit > GROUP_LIMIT_K:
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
-        by_salt = W.partitionBy(*keys, "_salt").orderBy(*order)
-        rows = (
-            salted.withColumn("_local", F.row_number().over(by_salt))
-            .where(F.col("_local") <= limit)
-            .drop("_salt", "_local")
-        )
+        rows = _cut_salted(rows, keys, order, limit, id_col, F.row_number())
     ranked = rows.withColumn(rank_col, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     if max_k is not None:
         ranked = ranked.where(F.col(rank_col) <= max_k)
     return ranked.where(F.col(rank_col) <= k).withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
 
+def within_rank(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salt_col: str
+) -> DataFrame:
+    """Rows with fewer than ``k`` strictly better rows in their group."""
+    if k > GROUP_LIMIT_K:
+        rows = _cut_salted(rows, keys, order, k, salt_col, F.rank())
+    better = F.rank().over(W.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_rank", better).where(F.col("_rank") <= k).drop("_rank")
+
+
 def split_hot(
     rows: DataFrame, key: str, hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -134,3 +138,14 @@ def spread_ntile(
         .withColumn(out, (tile + 1).cast("bigint"))
         .drop("_hash", "_slot", "_before", "_total", "_pos")
     )
+
+
+def _cut_salted(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salt_col: str, rank: Column
+) -> DataFrame:
+    """Drop rows whose rank in a hash-picked part of their group is past k already."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_col), F.lit(SALTS)))
+    part = W.partitionBy(*keys, "_salt").orderBy(*order)
+    return salted.withColumn("_local", rank.over(part)).where(F.col("_local") <= k).drop(
+        "_salt", "_local"
+    )

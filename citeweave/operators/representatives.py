@@ -4,8 +4,8 @@ All strategies share one shape: papers with a usable title and abstract are
 joined to the edges on narrow rows (no text), the rows are ranked and cut per
 concept, and title and abstract are joined back to what is left.
 
-``papers``: id, title, abstract, publication_year, cited_by_count and
-num_matched_concepts. ``edges``: distinct (concept, paper_id), neither null.
+``papers``: id, title, abstract, publication_year, cited_by_count,
+num_matched_concepts and, if it was stored, the ``readable`` flag. ``edges``: distinct (concept, paper_id), neither null.
 Paper ids must be unique; with ``shard_col`` they need only be unique within a
 shard, the join stays inside a shard, and the tiles of the temporal and coverage
 strategies are formed per shard.
@@ -34,7 +34,9 @@ from citeweave.operators.ranking import (
     spread_ntile,
     top_k,
     value_percent_rank,
+    within_rank,
 )
+from citeweave.schemas import READABLE
 from citeweave.session import ensure_checkpoint_dir
 
 # An IN-list longer than this becomes a semi-join.
@@ -269,12 +271,19 @@ def _tagged(
     """(concept, paper) rows of papers with text, without the text."""
     on = [PAPER_ID] + ([shard_col] if shard_col else [])
     shard = [shard_col] if shard_col else []
-    readable = papers.where(has_text("title") & has_text("abstract")).select(
+    readable = papers.where(_readable(papers)).select(
         F.col("id").alias(PAPER_ID), *shard, *columns
     )
     return _of_concepts(edges, concepts).select("concept", *on).join(readable, on)
 
 
+def _readable(papers: DataFrame) -> Column:
+    """The stored flag if the table has it, so that ranking reads no text at all."""
+    if READABLE in papers.columns:
+        return F.col(READABLE)
+    return has_text("title") & has_text("abstract")
+
+
 def _of_concepts(edges: DataFrame, concepts: Sequence[str] | None) -> DataFrame:
     """Keep the named concepts (all of them if none are named).
 
@@ -342,9 +351,8 @@ def _hot_contenders(rows: DataFrame, k: int, score_digits: int | None) -> DataFr
     out, since each of those holds a paper.
     """
     scored = _signal_ranks(rows).withColumn("composite_score", _composite(score_digits))
-    better = F.rank().over(W.partitionBy("concept").orderBy("composite_score"))
-    triples = scored.withColumn("_better", better).where(F.col("_better") <= k)
-    triples = triples.select(
+    best = within_rank(scored, ["concept"], [F.asc("composite_score")], k, "cited_by_count")
+    triples = best.select(
         F.col("concept").alias("_concept"),
         *[F.col(s).alias(f"_{s}") for s in SIGNALS],
         "composite_score",

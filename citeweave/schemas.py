@@ -39,6 +39,9 @@ PAPER = T.StructType(
     ]
 )
 
+# Stored with consolidated papers: title and abstract both hold text.
+READABLE = "readable"
+
 CONSOLIDATED_COLUMNS = [f.name for f in PAPER if f.name != "matched_concepts"]
 
 EDGE = T.StructType(

@@ -8,17 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave import constants as C
+from citeweave.functions.text import has_text
 from citeweave.operators.pairs import by_first_date
 from citeweave.operators.representatives import final_order
 from citeweave.operators.summaries import number_by_concept
+from citeweave.schemas import READABLE
 
 
 def write_papers(
     papers: DataFrame, path: str, mode: str = "error", rows_per_file: int = C.DOCS_PER_BATCH
 ) -> None:
+    """Papers with the ``readable`` flag, in files of at most ``rows_per_file`` rows."""
+    papers = with_readable(papers)
     _zstd(papers.write.mode(mode).option("maxRecordsPerFile", rows_per_file), path)
 
 
+def with_readable(papers: DataFrame) -> DataFrame:
+    flag = has_text("title") & has_text("abstract")
+    return papers.withColumn(READABLE, F.coalesce(flag, F.lit(False)))
+
+
 def write_edges(edges: DataFrame, path: str, mode: str = "error") -> None:
     """Edges in order of (concept, paper_id), so that a concept filter skips files.
 
@@ -33,7 +42,8 @@ def write_edges(edges: DataFrame, path: str, mode: str = "error") -> None:
 
 def save_joinable(papers: DataFrame, edges: DataFrame, prefix: str, buckets: int) -> None:
     """Save both tables bucketed by paper, so that joining them needs no shuffle."""
-    for name, table, key in (("papers", papers, "id"), ("edges", edges, "paper_id")):
+    tables = (("papers", with_readable(papers), "id"), ("edges", edges, "paper_id"))
+    for name, table, key in tables:
         table.write.bucketBy(buckets, key).sortBy(key).saveAsTable(f"{prefix}_{name}")
 
 

@@ -18,6 +18,7 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="run-"),
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-"),
         },
     )

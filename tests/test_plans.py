@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from citeweave.operators import distribution, pairs
 from citeweave.operators import representatives as rep
+from citeweave.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +65,19 @@ def test_pairs_shuffle_edges_once_and_need_no_self_join(stored):
 def test_counts_are_pre_aggregated(stored):
     text = plan(distribution.concept_counts(stored[1]))
     assert text.count("HashAggregate") == 2 and "ReadSchema: struct<concept:string>" in text
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, stored):
+    sinks.save_joinable(*stored, "joinable", 4)
+    papers, edges = spark.table("joinable_papers"), spark.table("joinable_edges")
+    frame = rep.citation_count(papers, edges, 2)
+    text = plan(frame)
+    assert text.count("Exchange hashpartitioning(paper_id") == 1  # text fetch, chosen side only
+    assert sorted(frame.collect()) == sorted(rep.citation_count(*stored, 2).collect())
+
+
+def test_stored_flag_keeps_text_out_of_ranking(spark, stored, tmp_path):
+    sinks.write_papers(stored[0], f"{tmp_path}/papers")
+    papers = spark.read.parquet(f"{tmp_path}/papers")
+    text = plan(rep.citation_count(papers, stored[1]))
+    assert text.count("abstract:string") == 1

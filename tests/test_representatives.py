@@ -194,6 +194,12 @@ def test_k_beyond_the_group_limit(spark):
     assert list(got.paper_id) == list(want.id[:2000])
 
 
+def test_hot_hybrid_beyond_the_group_limit(spark):
+    papers, edges = generated(spark)
+    plain = rep.hybrid(papers, edges, 1500, score_digits=9)
+    assert rows(rep.hybrid(papers, edges, 1500, score_digits=9, hot_rows=0)) == rows(plain)
+
+
 def test_named_concepts(spark, monkeypatch):
     papers, edges = generated(spark)
     want = [r for r in chosen(rep.citation_count(papers, edges, 3)) if r[0] in ("a", "it's")]
