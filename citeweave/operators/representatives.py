@@ -160,7 +160,7 @@ def hybrid(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Lowest weighted sum of the percent ranks of citations, year and breadth."""
-    common, hot = split_hot(_of_concepts(edges, concepts), "concept", hot_rows)
+    common, hot = _split_edges(edges, concepts, hot_rows)
     order = [F.asc_nulls_last("composite_score"), F.asc(PAPER_ID)]
     columns = ["publication_year", "cited_by_count", _breadth()]
 
@@ -277,6 +277,15 @@ def _tagged(
     return _of_concepts(edges, concepts).select("concept", *on).join(readable, on)
 
 
+def _split_edges(
+    edges: DataFrame, concepts: Sequence[str] | None, hot_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    # The joins to come need a paper id. Asking for it here already makes the edges
+    # the same in all branches, so that shuffles below them can be shared.
+    named = _of_concepts(edges, concepts).where(F.col(PAPER_ID).isNotNull())
+    return split_hot(named, "concept", hot_rows)
+
+
 def _readable(papers: DataFrame) -> Column:
     """The stored flag if the table has it, so that ranking reads no text at all."""
     if READABLE in papers.columns:
@@ -386,7 +395,7 @@ def _best_of_tiles(
     max_k: int,
 ) -> DataFrame:
     """Most cited papers of every tile of every concept."""
-    common, hot = split_hot(_of_concepts(edges, concepts), "concept", hot_rows)
+    common, hot = _split_edges(edges, concepts, hot_rows)
     keys = ([shard_col] if shard_col else []) + ["concept"]
     picked = []
     for part, cut in ((common, ntile), (hot, spread_ntile)):

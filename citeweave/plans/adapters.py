@@ -67,6 +67,17 @@ class Tables:
         )
 
 
+_OPEN: dict[tuple[str, str], Tables] = {}
+
+
+def open_tables(spark: SparkSession, folder: str) -> Tables:
+    """The folder's tables, opened once per application like those of a catalog."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _OPEN:
+        _OPEN[key] = Tables(spark, folder)
+    return _OPEN[key]
+
+
 def _order_concepts(t: Tables) -> DataFrame:
     lines = t["lineitem"].select("l_orderkey", "l_partkey")
     parts = t["part"].select("p_partkey", F.lower("p_name").alias("concept"))

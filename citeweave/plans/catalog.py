@@ -33,7 +33,7 @@ def query(fn: Query) -> Query:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn: Query):
-        return lambda spark, folder: fn(A.Tables(spark, folder))
+        return lambda spark, folder: fn(A.open_tables(spark, folder))
 
     return {name: bind(fn) for name, fn in _REGISTRY.items()}
 
