@@ -59,14 +59,19 @@ def within_rank(
 
 def split_hot(
     rows: DataFrame, key: str, hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary groups and rows of hot ones, by exact row counts.
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary groups, and rows of hot ones if there are any.
 
-    There are at most (all rows / ``hot_rows``) hot groups, which bounds the list
-    of their names that is broadcast: a million names for 10 ** 12 rows.
+    Groups are counted exactly, by a job of its own; without a hot group the rows
+    come back as they are. There are at most (all rows / ``hot_rows``) hot groups,
+    which bounds the list of their names that is broadcast: a million names for
+    10 ** 12 rows.
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(counts.where(F.col("_n") > hot_rows).select(key))
+    hot = counts.where(F.col("_n") > hot_rows).select(key)
+    if hot.isEmpty():
+        return rows, None
+    hot = F.broadcast(hot)
     return rows.join(hot, key, "left_anti"), rows.join(hot, key, "left_semi")
 
 

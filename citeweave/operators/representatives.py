@@ -11,8 +11,8 @@ shard, the join stays inside a shard, and the tiles of the temporal and coverage
 strategies are formed per shard.
 
 Top-k cuts itself down before it shuffles. Tiles and percent ranks need a whole
-concept at once, so concepts with more than ``hot_rows`` edges take another way
-to the same result, in which no task sees a whole concept.
+concept at once, so concepts with more than ``hot_rows`` edges (counted first)
+take another way to the same result, in which no task sees a whole concept.
 
 Ties are broken by paper_id (for tiles: by md5 of it), so results are stable.
 """
@@ -160,7 +160,7 @@ def hybrid(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Lowest weighted sum of the percent ranks of citations, year and breadth."""
-    common, hot = _split_edges(edges, concepts, hot_rows)
+    common, hot = split_hot(_of_concepts(edges, concepts), "concept", hot_rows)
     order = [F.asc_nulls_last("composite_score"), F.asc(PAPER_ID)]
     columns = ["publication_year", "cited_by_count", _breadth()]
 
@@ -171,11 +171,11 @@ def hybrid(
     scored = ranked.withColumn("composite_score", _composite(score_digits)).drop(*SIGNALS.values())
     chosen = top_k(scored, ["concept"], order, k, PAPER_ID)
 
-    contenders = _hot_contenders(
-        _tagged(papers, hot, None, shard_col, columns), k, score_digits
-    )
-    hot_chosen = top_k(contenders, ["concept"], order, k, PAPER_ID)
-    return _with_text(chosen.unionByName(hot_chosen), papers, shard_col, stage)
+    if hot is not None:
+        hot_papers = _tagged(papers, hot, None, shard_col, columns)
+        contenders = _hot_contenders(hot_papers, k, score_digits)
+        chosen = chosen.unionByName(top_k(contenders, ["concept"], order, k, PAPER_ID))
+    return _with_text(chosen, papers, shard_col, stage)
 
 
 def random_sample(
@@ -277,15 +277,6 @@ def _tagged(
     return _of_concepts(edges, concepts).select("concept", *on).join(readable, on)
 
 
-def _split_edges(
-    edges: DataFrame, concepts: Sequence[str] | None, hot_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    # The joins to come need a paper id. Asking for it here already makes the edges
-    # the same in all branches, so that shuffles below them can be shared.
-    named = _of_concepts(edges, concepts).where(F.col(PAPER_ID).isNotNull())
-    return split_hot(named, "concept", hot_rows)
-
-
 def _readable(papers: DataFrame) -> Column:
     """The stored flag if the table has it, so that ranking reads no text at all."""
     if READABLE in papers.columns:
@@ -395,16 +386,17 @@ def _best_of_tiles(
     max_k: int,
 ) -> DataFrame:
     """Most cited papers of every tile of every concept."""
-    common, hot = _split_edges(edges, concepts, hot_rows)
+    common, hot = split_hot(_of_concepts(edges, concepts), "concept", hot_rows)
     keys = ([shard_col] if shard_col else []) + ["concept"]
-    picked = []
-    for part, cut in ((common, ntile), (hot, spread_ntile)):
-        tiled = cut(
-            _tagged(papers, part, None, shard_col, columns), keys, value, PAPER_ID, tiles, tile_col
-        )
-        order = [_most_cited(), F.asc(PAPER_ID)]
-        picked.append(top_k(tiled, ["concept", tile_col], order, k, PAPER_ID, max_k=max_k))
-    return picked[0].unionByName(picked[1])
+    order = [_most_cited(), F.asc(PAPER_ID)]
+
+    def best(part: DataFrame, cut: Callable[..., DataFrame]) -> DataFrame:
+        rows = _tagged(papers, part, None, shard_col, columns)
+        tiled = cut(rows, keys, value, PAPER_ID, tiles, tile_col)
+        return top_k(tiled, ["concept", tile_col], order, k, PAPER_ID, max_k=max_k)
+
+    chosen = best(common, ntile)
+    return chosen if hot is None else chosen.unionByName(best(hot, spread_ntile))
 
 
 def _most_cited() -> Column:
