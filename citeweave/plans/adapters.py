@@ -207,7 +207,7 @@ def document_works(t: Tables) -> DataFrame:
 
 
 def document_batches(t: Tables) -> DataFrame:
-    """Two batches of tagged papers: all documents, and every third one again
+    """Two batches of tagged papers: all documents, and the labelled ones again
     later with one citation and one concept more."""
     base = t.documents().select(
         _document_id(),
@@ -219,7 +219,7 @@ def document_batches(t: Tables) -> DataFrame:
         F.lit("2024-01-01").alias("updated_date"),
         "doc_id",
     )
-    again = base.where(F.col("doc_id") % 3 == 0).withColumns(
+    again = base.join(t["labels"].select("doc_id"), "doc_id", "left_semi").withColumns(
         {
             "cited_by_count": F.col("cited_by_count") + 1,
             "matched_concepts": F.concat("matched_concepts", F.array(F.lit("again"))),

@@ -177,7 +177,7 @@ batches AS (
     lang || '|' || source AS concepts FROM docs
   UNION ALL
   SELECT id, title, publication_year, cited_by_count + 1, 2, '2024-02-01',
-    lang || '|' || source || '|again' FROM docs WHERE doc_id % 3 = 0
+    lang || '|' || source || '|again' FROM docs WHERE doc_id IN (SELECT doc_id FROM labels)
 )
 SELECT id, title, publication_year, cited_by_count, batch, updated_date, concepts FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_date {direction}, batch {direction})
@@ -339,7 +339,7 @@ SELECT shard, count(*) AS n_pairs FROM ({_pairs('shard, ')}) GROUP BY shard""",
         "works_scan": f"""{DOCUMENTS}
 SELECT id, title, publication_year, cited_by_count, '2024-01-0' || (doc_id % 3 + 1)
   AS updated_date
-FROM docs WHERE doc_id % 3 IN (0, 2)""",
+FROM docs""",
         "year_filter": """
 SELECT * FROM (
   SELECT 'D' || doc_id AS id, CASE doc_id % 10 WHEN 0 THEN NULL WHEN 1 THEN 0
@@ -358,7 +358,7 @@ FROM docs JOIN dictionary ON {_matches("title || ' ' || text")} GROUP BY source"
         "consolidate_edges": f"""{DOCUMENTS}
 SELECT DISTINCT * FROM (
   SELECT concept, paper_id FROM document_edges
-  UNION ALL SELECT 'again', id FROM docs WHERE doc_id % 3 = 0
+  UNION ALL SELECT 'again', id FROM docs WHERE doc_id IN (SELECT doc_id FROM labels)
 )""",
         "token_stats": f"""{DOCUMENTS}, {PER_CONCEPT}
 SELECT count(*) AS total_papers, count(DISTINCT concept) AS total_concepts,
