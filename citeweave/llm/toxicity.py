@@ -54,9 +54,16 @@ def class_counts(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return counts
 
 
-def log_ratios(rows: list[np.ndarray], toxic: np.ndarray, least: int = 5) -> np.ndarray:
-    """Log ratio of smoothed shares in the classes; 0 for buckets of few documents."""
+def log_ratios(
+    rows: list[np.ndarray], toxic: np.ndarray, least: int = 5, share: float = 0.02
+) -> np.ndarray:
+    """Log ratio of smoothed shares in the classes.
+
+    It is 0 for buckets of fewer than ``least`` documents or ``share`` of the toxic ones,
+    which long texts hit by chance.
+    """
     counts = class_counts(rows, toxic)
+    least = max(least, share * toxic.sum())
     ratio = np.log((counts[1] + 1) / (toxic.sum() + 2))
     ratio -= np.log((counts[0] + 1) / ((1 - toxic).sum() + 2))
     return np.where(counts.sum(axis=0) >= least, ratio, 0.0)
@@ -123,7 +130,7 @@ def logistic(
     rows: list[np.ndarray], target: np.ndarray, ratios: np.ndarray, rounds: int = 400
 ) -> tuple[np.ndarray, float]:
     """Weights per bucket and bias for soft labels, over buckets that tell the classes apart."""
-    kept = [row[np.abs(ratios[row]) >= 1.0] for row in rows]
+    kept = [row[np.abs(ratios[row]) >= 2.0] for row in rows]
     used = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
     sizes = np.array([len(k) for k in kept])
     at = np.searchsorted(used, np.concatenate(kept)) if len(used) else np.empty(0, np.int64)
