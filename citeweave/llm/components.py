@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import stored
@@ -57,41 +57,75 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 
 def linked_components(
-    spark: SparkSession, rows: DataFrame, verify: Callable[[DataFrame], DataFrame]
+    spark: SparkSession,
+    rows: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    values: DataFrame,
+    close: Callable[[Column, Column], Column],
 ) -> DataFrame:
     """Components of the graph whose links are the verified pairs with a common key.
 
     ``rows`` has long columns ``key, id``; ``verify`` takes pairs ``a, b`` and returns
-    those that are links. A group of m rows with one key does not make m² pairs: every
-    row first meets the key's smallest id alone. Only rows of one key that are then
-    still in different components meet each other, so no link between components is
-    missed, and links inside one are not needed.
+    those that are links. ``values`` (``id, value``) and ``close`` tell of two ids by
+    their values alone that they may be a link. A group of m rows with one key does not
+    make m² pairs: every id first meets one of its keys' smallest ids, then those of its
+    keys' smallest ids that are still in another component. Only rows of one key that are
+    then still apart meet each other, so no link between components is missed, and links
+    inside one are not needed.
     """
     dealt = rows.repartition("key")
     ends = dealt.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"))
     shared = dealt.join(ends.where("pivot < top").select("key", "pivot"), "key")
     shared = stored(spark, shared.where("id <> pivot").select("key", "id", "pivot"), "shared")
 
-    to_pivot = shared.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(spark, verify(to_pivot), "links")
-    found = components(spark, links)
+    one = shared.groupBy("id").agg(F.min("pivot").alias("pivot"))
+    one = stored(spark, one.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "first")
+    found = components(spark, verify(one))
+
+    pivots = shared.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    rest = _apart(pivots.join(one, ["a", "b"], "left_anti"), found)
+    found = _linked_more(spark, found, rest, verify)
 
     own = shared.join(found, "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("component")
     )
     ends = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"))
-    own = stored(spark, own.join(ends.where("low < top").select("key"), "key").distinct(), "apart")
-    left = own.select("key", F.col("id").alias("a"), F.col("component").alias("component_a"))
-    right = own.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"))
-    meeting = left.join(right, "key").where("component_a < component_b")
-    rest = stored(
-        spark,
-        meeting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        "meeting",
+    own = own.join(ends.where("low < top").select("key"), "key").distinct().join(values, "id")
+    own = stored(spark, own, "apart")
+    left, right = (
+        own.select(
+            "key",
+            F.col("id").alias(x),
+            F.col("component").alias(f"component_{x}"),
+            F.col("value").alias(f"value_{x}"),
+        )
+        for x in "ab"
     )
-    if rest.isEmpty():
+    may_link = close(F.col("value_a"), F.col("value_b"))
+    meeting = left.join(right, "key").where(F.expr("component_a < component_b") & may_link)
+    meeting = meeting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return _linked_more(spark, found, meeting.distinct(), verify)
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ids are in different components so far."""
+    one = found.select(F.col("id").alias("a"), F.col("component").alias("_a"))
+    two = found.select(F.col("id").alias("b"), F.col("component").alias("_b"))
+    labelled = pairs.join(one, "a", "left").join(two, "b", "left")
+    return labelled.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
+def _linked_more(
+    spark: SparkSession,
+    found: DataFrame,
+    pairs: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """The components after those of the pairs that are links join them."""
+    pairs = stored(spark, pairs, "pairs")
+    if pairs.isEmpty():
         return found
-    more = stored(spark, verify(rest), "links")
+    more = stored(spark, verify(pairs), "links")
     if more.isEmpty():
         return found
     stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))

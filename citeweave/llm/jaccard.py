@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import as_long, find_words, slices, stored, window_hashes, word_hashes
@@ -162,14 +162,16 @@ def _product(words: int, percent: int):
     return run
 
 
+def _may_link(size: Column, other: Column, percent: int) -> Column:
+    return 100 * F.least(size, other) >= percent * F.greatest(size, other)
+
+
 def _verifier(texts: DataFrame, classes: DataFrame, words: int, percent: int):
     def verify(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("size_a"))
         two = classes.select(F.col("class").alias("b"), F.col("n_shingles").alias("size_b"))
         sized = pairs.join(one, "a").join(two, "b")
-        sized = sized.where(
-            100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-        )
+        sized = sized.where(_may_link(F.col("size_a"), F.col("size_b"), percent))
         spark = pairs.sparkSession
         sized = stored(spark, sized, "pairs")
         total = sized.agg(F.sum(F.col("size_a") + F.col("size_b"))).first()[0] or 0
@@ -225,7 +227,9 @@ def similar_documents(
 
     firsts = sets.join(classes.select("doc_id", "class"), ["doc_id", "class"], "left_semi")
     rows = firsts.select(F.explode("first").alias("key"), F.col("class").alias("id"))
-    found = linked_components(spark, rows, _verifier(texts, classes, words, percent))
+    sizes = classes.select(F.col("class").alias("id"), F.col("n_shingles").alias("value"))
+    verify = _verifier(texts, classes, words, percent)
+    found = linked_components(spark, rows, verify, sizes, lambda a, b: _may_link(a, b, percent))
 
     grouped = classes.join(found.withColumnRenamed("id", "class"), "class", "left").select(
         "class", "doc_id", F.coalesce("component", "class").alias("component")
