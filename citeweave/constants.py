@@ -37,15 +37,6 @@ FILES_PER_TRIGGER = 4
 PROMPT_PAPERS = 10
 PROMPT_TITLE_CHARS = 500
 PROMPT_ABSTRACT_CHARS = 10_000
-SUMMARY_KEYS = [
-    "concept",
-    "definition",
-    "key_themes",
-    "typical_applications",
-    "related_fields",
-    "summary",
-    "research_trends",
-]
 SYSTEM_MESSAGE = (
     "Reasoning: low\n"
     "You are a precise scientific assistant that summarizes research concepts. "

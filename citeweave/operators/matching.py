@@ -41,13 +41,13 @@ def mark_runs(text: Column) -> Column:
 
 
 def prepare_dictionary(dictionary: DataFrame) -> DataFrame:
-    """Per concept: its anchor and how a meeting is to be checked.
+    """Per concept, trimmed and in lower case: its anchor and how a meeting is checked.
 
     The anchor is the run that fewest concepts of the dictionary have, which
     keeps the number of concepts per anchor low. Concepts without any run get
     the empty anchor.
     """
-    concepts = dictionary.select("concept").distinct()
+    concepts = normalise_dictionary(dictionary, "concept")
     runs = concepts.select(
         "concept", F.explode_outer(F.array_distinct(runs_of(F.col("concept")))).alias("run")
     )

@@ -39,9 +39,6 @@ from citeweave.operators.ranking import (
 from citeweave.schemas import READABLE
 from citeweave.session import ensure_checkpoint_dir
 
-# An IN-list longer than this becomes a semi-join.
-MAX_IN_LIST = 500
-
 # Chosen rows are broadcast to the text scan up to this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -292,8 +289,6 @@ def _of_concepts(edges: DataFrame, concepts: Sequence[str] | None) -> DataFrame:
     if not concepts:
         return edges
     names = sorted(set(concepts))
-    if len(names) <= MAX_IN_LIST:
-        return edges.where(F.col("concept").isin(names))
     wanted = edges.sparkSession.createDataFrame([(n,) for n in names], "concept string")
     if sum(len(n.encode()) + 32 for n in names) <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)

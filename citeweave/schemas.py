@@ -44,22 +44,6 @@ READABLE = "readable"
 
 CONSOLIDATED_COLUMNS = [f.name for f in PAPER if f.name != "matched_concepts"]
 
-EDGE = T.StructType(
-    [
-        T.StructField("concept", T.StringType()),
-        T.StructField("paper_id", T.StringType()),
-    ]
-)
-
-REPRESENTATIVE_COLUMNS = [
-    "concept",
-    "paper_id",
-    "title",
-    "abstract",
-    "publication_year",
-    "cited_by_count",
-]
-
 SUMMARY = T.StructType(
     [
         T.StructField("concept", T.StringType()),
