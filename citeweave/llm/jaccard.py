@@ -3,7 +3,8 @@
 The documents-by-n-grams incidence matrix is multiplied with its transpose in blocks.
 Sizes bound the work twice: two sets of a given similarity share an n-gram among the
 first |x| - ceil(t |x|) + 1 of either set in any one order of all n-grams, so only those
-columns tell which pairs can meet, and pairs whose sizes differ too much are discarded.
+columns tell which pairs can meet. Pairs whose sizes differ too much are discarded, and
+those of which one set has too little left from the common column on to be linked.
 What remains is dealt into blocks; each block holds its rows' incidence in sparse form
 and accumulates the overlap counts of its pairs.
 
@@ -166,6 +167,15 @@ def _may_link(size: Column, other: Column, percent: int) -> Column:
     return 100 * F.least(size, other) >= percent * F.greatest(size, other)
 
 
+def _may_start(one: Column, two: Column, percent: int) -> Column:
+    """Whether two linked sets can have their first common n-gram at these places.
+
+    All that they share then lies in what is left of either set from there on.
+    """
+    least = F.least(one["left"], two["left"])
+    return (100 + percent) * least >= percent * (one["size"] + two["size"])
+
+
 def _verifier(texts: DataFrame, classes: DataFrame, words: int, percent: int):
     def verify(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("size_a"))
@@ -226,10 +236,21 @@ def similar_documents(
     classes = stored(spark, classes, "classes")
 
     firsts = sets.join(classes.select("doc_id", "class"), ["doc_id", "class"], "left_semi")
-    rows = firsts.select(F.explode("first").alias("key"), F.col("class").alias("id"))
-    sizes = classes.select(F.col("class").alias("id"), F.col("n_shingles").alias("value"))
+    rows = firsts.select(
+        F.posexplode("first").alias("at", "key"), F.col("class").alias("id"), "n_shingles"
+    )
+    left = F.col("n_shingles") - F.col("at")
+    value = F.struct(F.col("n_shingles").alias("size"), left.alias("left")).alias("value")
+    rows = rows.select("key", "id", value)
     verify = _verifier(texts, classes, words, percent)
-    found = linked_components(spark, rows, verify, sizes, lambda a, b: _may_link(a, b, percent))
+    found = linked_components(
+        spark,
+        rows,
+        verify,
+        lambda a, b: _may_start(a, b, percent),
+        # The set whose common n-grams come first differs least from the others.
+        centre=lambda value: value["left"] / value["size"],
+    )
 
     grouped = classes.join(found.withColumnRenamed("id", "class"), "class", "left").select(
         "class", "doc_id", F.coalesce("component", "class").alias("component")
