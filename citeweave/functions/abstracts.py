@@ -74,7 +74,7 @@ def _words_in_order(entries: Column) -> Column:
             ),
         )
     )
-    return F.transform(F.array_sort(placed), lambda s: s["word"])
+    return F.transform(F.sort_array(placed), lambda s: s["word"])
 
 
 def _last_of_each_key(entries: Column, keys: Column) -> Column:

@@ -113,7 +113,7 @@ def matched_arrays(hits: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
     A set is bounded by the dictionary, not by the data.
     """
     return hits.groupBy(*keys).agg(
-        F.array_sort(F.collect_set("concept")).alias("matched_concepts")
+        F.sort_array(F.collect_set("concept")).alias("matched_concepts")
     ).withColumn("num_matched_concepts", F.size("matched_concepts"))
 
 

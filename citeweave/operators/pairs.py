@@ -41,7 +41,7 @@ def first_cooccurrence(
         F.col("publication_year").alias("year"),
     ).where(F.col("date").isNotNull())
     sets = edges.groupBy("paper_id", *shard).agg(
-        F.array_sort(F.collect_set("concept")).alias("concepts")
+        F.sort_array(F.collect_set("concept")).alias("concepts")
     )
     blocks = (
         sets.where(F.size("concepts") > 1)

@@ -57,14 +57,13 @@ class Tables:
         return self.spark.createDataFrame([(c,) for c in DICTIONARY], "concept string")
 
     def phrase_dictionary(self) -> DataFrame:
-        """The first two words of every benchmark text."""
+        """Every two neighbouring words of the benchmark texts."""
         words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-        return (
-            self["benchmark"]
-            .select(F.array_join(F.slice(words, 1, 2), " ").alias("concept"))
-            .where(F.col("concept") != "")
-            .distinct()
-        )
+        lists = self["benchmark"].select(words.alias("words"))
+        following = F.slice("words", 2, F.size("words"))
+        pairs = F.zip_with("words", following, lambda a, b: F.concat_ws(" ", a, b))
+        pairs = F.slice(pairs, 1, F.greatest(F.size("words") - 1, F.lit(0)))
+        return lists.select(F.explode(pairs).alias("concept")).distinct()
 
 
 _OPEN: dict[tuple[str, str], Tables] = {}

@@ -62,11 +62,25 @@ chosen AS (
 
 _LITERALS = ", ".join("('" + c + "')" for c in DICTIONARY)
 FIXED_DICTIONARY = f"dictionary AS (SELECT * FROM (VALUES {_LITERALS}) v(concept))"
-PHRASES = """dictionary AS (
-  SELECT DISTINCT
-    array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:2], ' ') AS concept
-  FROM benchmark
-)"""
+# Word pairs are sought among the ends of parts that one blank divides.
+PHRASE_MATCHES = """, runs AS (
+  SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark
+),
+dictionary AS (
+  SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+    AS concept
+  FROM runs
+),
+parts AS (SELECT id, string_split(lower(title || ' ' || text), ' ') AS p FROM docs),
+placed AS (
+  SELECT id, unnest(p) AS one, unnest(list_concat(p[2:], [''])) AS two FROM parts
+),
+pairs AS (
+  SELECT DISTINCT id, regexp_extract(one, '[\\p{L}\\p{N}]+$') || ' '
+    || regexp_extract(two, '^[\\p{L}\\p{N}]+') AS concept
+  FROM placed
+)
+SELECT id, concept FROM pairs JOIN dictionary USING (concept)"""
 
 
 def _matches(text: str) -> str:
@@ -333,7 +347,7 @@ SELECT shard, count(*) AS n_pairs FROM ({_pairs('shard, ')}) GROUP BY shard""",
         "abstract_rebuild": f"{DOCUMENTS} SELECT id, words AS abstract FROM docs",
         "concept_match": match_fixed,
         "concept_match_shuffled": match_fixed,
-        "concept_match_phrases": _match_query(PHRASES),
+        "concept_match_phrases": f"{DOCUMENTS}{PHRASE_MATCHES}",
         "works_to_papers": _papers_of_works(),
         "works_stream_ingest": _papers_of_works(),
         "works_scan": f"""{DOCUMENTS}
