@@ -77,7 +77,7 @@ def canonical(text: Column) -> Column:
     out = F.concat(F.lit(" "), F.regexp_replace(F.lower(plain), NOT_IN_WORDS, "  "), F.lit(" "))
     for word, same in SPELLINGS.items():
         out = F.replace(out, F.lit(f" {word} "), F.lit(f" {same} "))
-    return F.trim(F.regexp_replace(out, " +", " "))
+    return F.replace(F.trim(out), F.lit("  "), F.lit(" "))
 
 
 def digest(text: Column) -> Column:
@@ -97,8 +97,11 @@ def scan(
     named = named.where("digest is not null").groupBy("digest").agg(F.min("licence").alias("licence"))
     if named.count() <= BROADCAST_ROWS:
         named = F.broadcast(named)
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"))
-    return rows.join(named, "digest", "left").select("doc_id", "digest", "licence")
+    # A key that is never null: else inner joins filter on it, and work every digest out twice.
+    key = F.coalesce(digest(F.col(text_col)), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("digest"))
+    found = rows.join(named, "digest", "left")
+    return found.select("doc_id", F.nullif("digest", F.lit("")).alias("digest"), "licence")
 
 
 def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
