@@ -42,16 +42,8 @@ class Tables:
         return self._read[name]
 
     def documents(self) -> DataFrame:
-        """Documents spread over the cores if they come in fewer files than that.
-
-        Working through a text costs far more than moving it; a table of many
-        files is spread already and stays where it is.
-        """
-        documents = self["documents"]
-        cores = self.spark.sparkContext.defaultParallelism
-        if len(documents.inputFiles()) < cores:
-            return documents.repartition(cores, "doc_id")
-        return documents
+        """Documents where they lie: their files spread them, texts are not moved."""
+        return self["documents"]
 
     def dictionary(self) -> DataFrame:
         return self.spark.createDataFrame([(c,) for c in DICTIONARY], "concept string")
