@@ -77,7 +77,7 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    kept = line_dedup.drop_repeated_lines(spark, _table(spark, folder, "documents"))
+    kept = line_dedup.drop_similar_lines(spark, _table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
