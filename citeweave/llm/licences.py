@@ -4,8 +4,11 @@ The canonical form has small letters, one spelling for words spelt in several wa
 copyright lines, and single blanks for runs of anything but letters and digits. Its
 SHA-256 is joined with the digests of known licences; nothing is compared in part.
 
-Known texts come as a table (``licence, text``). ``KNOWN`` holds short public statements
-and the two shortest public licence texts; callers add their own full texts.
+Known texts come as a table (``licence, text``). ``known_texts`` gives the full texts that
+lie in ``licence_texts`` (with and without their titles and appendices), the two texts
+and the statements of ``KNOWN``, and the usual notices of every version that ``notices``
+names; callers add their own. A licence that is only some lines of a longer document is
+not found, unless each of these lines is a known text of its own.
 
 Defined cases: null, empty and wordless texts have an empty canonical form, a null
 digest and match nothing. A text known under several names gives the smallest name.
@@ -15,6 +18,8 @@ Empty tables give empty results; texts may be of any length.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +71,59 @@ KNOWN = {
     ),
 }
 
+# Full texts, one file for each licence.
+FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licence_texts")
+# Titles under which copies of a text go; files hold the first one, or none.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "Unlicense": ["The Unlicense"],
+}
+# After these lines come appendices that copies often lack.
+ENDS = ("END OF TERMS AND CONDITIONS",)
+APACHE_HEADER = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file"
+    " except in compliance with the License. You may obtain a copy of the License at"
+    " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to"
+    " in writing, software distributed under the License is distributed on an \"AS IS\" BASIS,"
+    " WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License"
+    " for the specific language governing permissions and limitations under the License."
+)
+MPL_HEADER = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a"
+    " copy of the MPL was not distributed with this file, You can obtain one at"
+    " https://mozilla.org/MPL/2.0/."
+)
+GNU_HEADER = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of"
+    " the {name} as published by the Free Software Foundation, {version}. This {what} is"
+    " distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the"
+    " implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for"
+    " more details. You should have received a copy of the {name} along with this {what}. If"
+    " not, see <https://www.gnu.org/licenses/>."
+)
+# Names and versions of the GNU licences, and of the Creative Commons ones.
+GNU = {
+    "GPL": {"GNU General Public License": ["1.0", "2.0", "3.0"]},
+    "LGPL": {
+        "GNU Library General Public License": ["2.0"],
+        "GNU Lesser General Public License": ["2.1", "3.0"],
+    },
+    "AGPL": {"GNU Affero General Public License": ["1.0", "3.0"]},
+}
+CC = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+
 COPYRIGHT_LINE = r"(?im)^[ \t#*/;-]*(copyright\b|\(c\)|©)[^\n]*$"
 NOT_IN_WORDS = r"[^\p{L}\p{N}]+"
 
@@ -85,8 +143,66 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+def _gnu_notices() -> list[tuple[str, str]]:
+    out = []
+    for short, names in GNU.items():
+        for name, versions in names.items():
+            for full in versions:
+                number, label = full.removesuffix(".0"), f"{short}-{full}"
+                later = f"either version {number} of the License, or (at your option) any later version"
+                for version, kind in ((f"version {number}", label), (later, f"{label}-or-later")):
+                    for what in ("program", "library", "file"):
+                        text = GNU_HEADER.format(what=what, name=name, version=version)
+                        out.append((f"{kind} notice", text))
+                    if kind != label:
+                        version = f"version {number} or later"
+                    out.append((f"{kind} notice", f"This work is licensed under the {name}, {version}."))
+                    out.append((f"{kind} notice", f"Licensed under the {name}, {version}."))
+    return out
+
+
+def notices() -> list[tuple[str, str]]:
+    """``licence, text`` of the usual notices of licences, for all their versions."""
+    out = [("Apache-2.0 notice", APACHE_HEADER), ("MPL-2.0 notice", MPL_HEADER), *_gnu_notices()]
+    for v in ("1.0", "1.1", "2.0"):
+        out.append((f"Apache-{v} notice", f"Licensed under the Apache License, Version {v}."))
+        out.append((f"MPL-{v} notice", f"Licensed under the Mozilla Public License, Version {v}."))
+    named = {"MIT": "MIT", "ISC": "ISC", "BSD-2-Clause": "BSD 2-Clause", "BSD-3-Clause": "BSD 3-Clause"}
+    for short, name in named.items():
+        for verb in ("Released", "Licensed"):
+            out.append((f"{short} notice", f"{verb} under the {name} License."))
+    for short, name in CC.items():
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            kind = f"CC-{short}-{v} notice"
+            out.append((kind, f"Licensed under CC {short} {v}."))
+            port = "International" if v == "4.0" else "Unported" if v == "3.0" else "Generic"
+            for what in (f"Creative Commons {name} {v} License", f"Creative Commons {name} {v} {port} License"):
+                out.append((kind, f"This work is licensed under a {what}."))
+                out.append((kind, f"Licensed under the {what}."))
+    return out
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """``licence, text`` of the texts in ``FOLDER`` as they stand, and as copies vary them."""
+    out = []
+    for file in sorted(os.listdir(FOLDER)):
+        name = file.removesuffix(".txt")
+        with open(os.path.join(FOLDER, file), encoding="utf-8") as opened:
+            text = opened.read()
+        bodies = [text]
+        for end in ENDS:
+            head, found, _ = text.partition(end)
+            bodies += [head, head + found] if found else []
+        if name in TITLES:
+            body = text.strip().removeprefix(TITLES[name][0])
+            bodies += [body, *(f"{title}\n{body}" for title in TITLES[name])]
+        out += [(name, body) for body in bodies]
+    return out
+
+
 def known_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([*KNOWN.items()], "licence string, text string")
+    rows = [*KNOWN.items(), *notices(), *full_texts()]
+    return spark.createDataFrame(rows, "licence string, text string")
 
 
 def scan(
