@@ -1,7 +1,7 @@
 """License scan: whole texts looked up by the digest of their canonical form.
 
 The canonical form has small letters, one spelling for words spelt in several ways, no
-copyright lines, and single blanks for runs of anything but letters and digits. Its
+copyright notices, and single blanks for runs of anything but letters and digits. Its
 SHA-256 is joined with the digests of known licences; nothing is compared in part.
 
 Known texts come as a table (``licence, text``). ``known_texts`` gives the full texts that
@@ -11,7 +11,8 @@ names; callers add their own. A licence that is only some lines of a longer docu
 not found, unless each of these lines is a known text of its own.
 
 Defined cases: null, empty and wordless texts have an empty canonical form, a null
-digest and match nothing. A text known under several names gives the smallest name.
+digest and match nothing. A notice within a line stays, and one that goes over several
+lines loses its first, so a copy that wraps a notice otherwise is not found. A text known under several names gives the smallest name.
 Repeated rows are each looked up. Columns besides the id and text are not looked at.
 Empty tables give empty results; texts may be of any length.
 """
@@ -124,13 +125,26 @@ CC = {
     "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
 }
 
+# Used by the registered SQL only: it also drops lines of a licence that begin so.
 COPYRIGHT_LINE = r"(?im)^[ \t#*/;-]*(copyright\b|\(c\)|©)[^\n]*$"
+# Of the lines that begin so only notices are dropped: a line with a second mark or a year,
+# and, at the head of a text, one that names a holder.
+_MARK = r"(?:copyright|\(c\)|©)"
+_HEAD = r"[ \t#*/;-]*"
+_YEAR = r"[\[<{(]?(?:year|yyyy|[0-9]{4})\b"
+_NO_HOLDER = (
+    r"(?:notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|rights?|treaty|and|or|in|is|are)"
+)
+NOTICE = (
+    rf"(?im)^{_HEAD}(?:©|{_MARK}[ \t:,]*(?:{_MARK}|{_YEAR}))[^\n]*$"
+    rf"|\A\s*{_HEAD}{_MARK}(?![\w])(?![ \t]*{_NO_HOLDER}\b)[^\n]*$"
+)
 NOT_IN_WORDS = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; spellings are replaced whole word by whole word."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "\n")
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), NOTICE, "\n")
     # Two blanks between words, so that neighbouring words don't share one.
     out = F.concat(F.lit(" "), F.regexp_replace(F.lower(plain), NOT_IN_WORDS, "  "), F.lit(" "))
     for word, same in SPELLINGS.items():
