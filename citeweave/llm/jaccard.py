@@ -217,7 +217,8 @@ def similar_documents(
     """``doc_id, n_shingles, class, component_id`` of every document.
 
     ``class`` is equal for equal sets; ``component_id`` is the smallest id that links
-    (similarity of ``percent`` or more) reach. The sketch takes eight bytes a cell on the
+    (similarity of ``percent`` or more) reach. Only components are given: pairs inside one
+    are not all verified, so links are neither listed nor counted. The sketch takes eight bytes a cell on the
     driver and in each Python worker; more cells tell frequent n-grams of larger inputs.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(
