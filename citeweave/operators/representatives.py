@@ -284,15 +284,10 @@ def _readable(papers: DataFrame) -> Column:
 def _of_concepts(edges: DataFrame, concepts: Sequence[str] | None) -> DataFrame:
     """Keep the named concepts (all of them if none are named).
 
-    Names are compared exactly; dictionary concepts are lower case.
+    Names are compared exactly; dictionary concepts are lower case. The list is pushed to
+    the scan, so files and row groups outside its range are skipped.
     """
-    if not concepts:
-        return edges
-    names = sorted(set(concepts))
-    wanted = edges.sparkSession.createDataFrame([(n,) for n in names], "concept string")
-    if sum(len(n.encode()) + 32 for n in names) <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
-    return edges.join(wanted, "concept", "left_semi")
+    return edges.where(F.col("concept").isin(sorted(set(concepts)))) if concepts else edges
 
 
 def _with_text(
