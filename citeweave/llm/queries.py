@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from citeweave.llm import (
     bpe,
+    conversations,
+    decontamination,
     jaccard,
     licences,
     line_dedup,
@@ -16,10 +18,12 @@ from citeweave.llm import (
     neighbours,
     packing,
     quality_rules,
+    resampling,
     substring,
     toxicity,
 )
 from citeweave.llm.common import crc_remainder
+from citeweave.llm.oracles import CONVERSATIONS_SQL, DECONTAMINATION_SQL, RESAMPLING_SQL
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -108,6 +112,39 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find_contamination(
+        spark, _table(spark, folder, "documents"), _table(spark, folder, "benchmark"), window=10
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.resample(
+        spark,
+        _table(spark, folder, "documents"),
+        _table(spark, folder, "benchmark"),
+        percent=10,
+        min_words=20,
+        buckets=10_000,
+        max_words=1,
+        seed=2024,
+    )
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversations.damage(_table(spark, folder, "conversations"))
+    return conversations.repair(spark, rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_license_scan,
@@ -120,6 +157,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_substring_dedup,
         op9_neighbours,
         op10_ngram_jaccard,
+        op11_decontamination,
+        op12_importance_resampling,
+        op13_conversation_repair,
     ]
     return {f.__name__: f for f in own}
 
@@ -200,4 +240,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": _license_sql(),
         "op8_substring_dedup": SUBSTRING_SQL,
         "op10_ngram_jaccard": JACCARD_SQL,
+        "op11_decontamination": DECONTAMINATION_SQL,
+        "op12_importance_resampling": RESAMPLING_SQL,
+        "op13_conversation_repair": CONVERSATIONS_SQL,
     }
