@@ -31,7 +31,7 @@ TOKENS_PER_PAPER = {"short_papers": 150, "average_papers": 280, "long_papers": 4
 
 # --- ingest ------------------------------------------------------------------
 DOCS_PER_BATCH = 50_000
-FILES_PER_TRIGGER = 4
+BYTES_PER_TRIGGER = 32 << 30  # ours: works files of one batch together
 
 # --- summaries ---------------------------------------------------------------
 PROMPT_PAPERS = 10

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,28 +20,29 @@ def concept_counts(edges: DataFrame) -> DataFrame:
 def describe_counts(counts: DataFrame) -> DataFrame:
     """One row: count, mean, sample deviation, min, quartiles, max.
 
-    Quartiles are exact and interpolated. Everything is worked out from the
-    frequencies of the distinct counts.
+    Quartiles are exact and interpolated. Everything is worked out from the frequencies of
+    the distinct counts in one aggregate, sums exactly.
     """
-    freq = _frequencies(counts)
-    n = F.sum("n")
+    c, n = F.col("paper_count").cast("decimal(38,0)"), F.col("n").cast("decimal(38,0)")
     quartiles = F.percentile("paper_count", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    moments = counts.agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("paper_count").alias("mean"),
-        F.stddev_samp("paper_count").alias("std"),
+    sums = _frequencies(counts).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
+        F.sum(F.col("paper_count") * F.col("n")).cast("double").alias("total"),
+        F.sum((c * c * n).cast("decimal(38,0)")).cast("double").alias("squares"),
         F.min("paper_count").alias("min"),
         F.max("paper_count").alias("max"),
+        quartiles.alias("q"),
     )
-    q = freq.agg(quartiles.alias("q")).select("q").scalar()
-    return moments.withColumn("_q", q).select(
+    total, squares, number = F.col("total"), F.col("squares"), F.col("count")
+    spread = F.greatest(squares - total * total / number, F.lit(0.0))
+    return sums.select(
         "count",
-        "mean",
-        "std",
+        F.when(number > 0, total / number).alias("mean"),
+        F.when(number > 1, F.sqrt(spread / (number - 1))).alias("std"),
         "min",
-        F.col("_q")[0].alias("p25"),
-        F.col("_q")[1].alias("p50"),
-        F.col("_q")[2].alias("p75"),
+        F.col("q")[0].alias("p25"),
+        F.col("q")[1].alias("p50"),
+        F.col("q")[2].alias("p75"),
         "max",
     )
 
@@ -51,39 +52,50 @@ def histogram(counts: DataFrame, bins: int = C.HISTOGRAM_BINS) -> DataFrame:
 
     The last bin is closed. If all counts are equal the range is widened by 0.5
     on either side. No counts, no bins.
+
+    The frequencies of the distinct counts are gathered once; their number is at most
+    about the square root of twice the number of edges. Bounds, bins and sums follow from
+    that one row, so counts are worked out a single time.
     """
-    freq = _frequencies(counts)
-    low, high = F.min("paper_count").cast("double"), F.max("paper_count").cast("double")
-    same = low == high
-    bounds = freq.agg(
-        F.struct(
-            F.when(same, low - 0.5).otherwise(low).alias("lo"),
-            F.when(same, high + 0.5).otherwise(high).alias("hi"),
-        ).alias("bounds")
-    ).scalar()
-
-    def with_bounds(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("_b", bounds).select("*", "_b.lo", "_b.hi").drop("_b")
-
-    width = (F.col("hi") - F.col("lo")) / bins
-    x = F.col("paper_count")
-    guess = F.least(
-        F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)
+    pair = F.struct(F.col("paper_count").alias("c"), F.col("n").alias("n"))
+    row = _frequencies(counts).agg(
+        F.collect_list(pair).alias("pairs"),
+        F.min("paper_count").cast("double").alias("low"),
+        F.max("paper_count").cast("double").alias("high"),
+    )
+    same = F.col("low") == F.col("high")
+    row = row.where("low is not null").select(
+        "pairs",
+        F.when(same, F.col("low") - 0.5).otherwise(F.col("low")).alias("lo"),
+        F.when(same, F.col("high") + 0.5).otherwise(F.col("high")).alias("hi"),
+    )
+    lo, hi = F.col("lo"), F.col("hi")
+    width = (hi - lo) / bins
+
+    def bin_of(x: Column) -> Column:
+        guess = F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1))
+        # The division can miss by one bin; the bin's own edges decide.
+        return (
+            F.when(x < lo + guess * width, guess - 1)
+            .when((guess < bins - 1) & (x >= lo + (guess + 1) * width), guess + 1)
+            .otherwise(guess)
+        )
+
+    # An entry of no concepts for every bin, so that empty bins are there too.
+    every = F.transform(
+        F.sequence(F.lit(0), F.lit(bins - 1)),
+        lambda b: F.struct(b.cast("bigint").alias("bin"), F.lit(0).cast("bigint").alias("n")),
     )
-    # The division can miss by one bin; the bin's own edges decide.
-    place = (
-        F.when(x < F.col("lo") + guess * width, guess - 1)
-        .when((guess < bins - 1) & (x >= F.col("lo") + (guess + 1) * width), guess + 1)
-        .otherwise(guess)
+    placed = F.transform("pairs", lambda p: F.struct(bin_of(p["c"]).alias("bin"), p["n"].alias("n")))
+    entries = row.select("lo", "hi", F.explode(F.concat(every, placed)).alias("e"))
+    summed = entries.groupBy("lo", "hi", F.col("e.bin").alias("bin")).agg(
+        F.sum("e.n").alias("n_concepts")
     )
-    filled = with_bounds(freq).groupBy(place.alias("bin")).agg(F.sum("n").alias("n_concepts"))
-    every = counts.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    every = with_bounds(every).where(F.col("lo").isNotNull())
-    return every.join(filled, "bin", "left").select(
+    return summed.select(
         "bin",
-        (F.col("lo") + F.col("bin") * width).alias("bin_start"),
-        (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_end"),
-        F.coalesce("n_concepts", F.lit(0)).alias("n_concepts"),
+        (lo + F.col("bin") * width).alias("bin_start"),
+        (lo + (F.col("bin") + 1) * width).alias("bin_end"),
+        "n_concepts",
     )
 
 

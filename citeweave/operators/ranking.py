@@ -1,7 +1,7 @@
 """Ranking within groups that may be very large.
 
-A window function sends each group to one task. These three forms give the same
-answers while a group holding a large part of all rows stays spread out.
+A window function sends each group to one task. These forms give the same answers
+while a group holding a large part of all rows stays spread out.
 """
 
 from __future__ import annotations
@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 GROUP_LIMIT_K = 1000
 SALTS = 512
 
-# A group with more rows than this is not ranked by one task.
-HOT_ROWS = 1_000_000
-
 # Leading hex digits of a row's md5 that name its slot: 16 ** 3 slots per value.
 SLOT_DIGITS = 3
 
@@ -57,32 +54,6 @@ def within_rank(
     return rows.withColumn("_rank", better).where(F.col("_rank") <= k).drop("_rank")
 
 
-def split_hot(
-    rows: DataFrame, key: str, hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of hot ones if there are any.
-
-    Groups are counted exactly, by a job of its own; without a hot group the rows
-    come back as they are. There are at most (all rows / ``hot_rows``) hot groups,
-    which bounds the list of their names that is broadcast: a million names for
-    10 ** 12 rows.
-    """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > hot_rows).select(key)
-    if hot.isEmpty():
-        return rows, None
-    hot = F.broadcast(hot)
-    return rows.join(hot, key, "left_anti"), rows.join(hot, key, "left_semi")
-
-
-def ntile(
-    rows: DataFrame, keys: Sequence[str], value: str, id_col: str, tiles: int, out: str
-) -> DataFrame:
-    """NTILE(tiles) per group in order of (value, md5(id), id), one task per group."""
-    window = W.partitionBy(*keys).orderBy(value, F.md5(id_col), id_col)
-    return rows.withColumn(out, F.ntile(tiles).over(window).cast("bigint"))
-
-
 def value_percent_rank(
     counts: DataFrame,
     keys: Sequence[str],
@@ -109,7 +80,7 @@ def value_percent_rank(
 def spread_ntile(
     rows: DataFrame, keys: Sequence[str], value: str, id_col: str, tiles: int, out: str
 ) -> DataFrame:
-    """The same tiles as ``ntile`` for groups of any size.
+    """NTILE(tiles) per group in order of (value, md5(id), id), for groups of any size.
 
     Rows are counted per (group, value, md5 prefix); a running sum over those
     counts says how many rows stand before each such slot, and a row number

@@ -2,7 +2,8 @@
 
 All strategies share one shape: papers with a usable title and abstract are
 joined to the edges on narrow rows (no text), the rows are ranked and cut per
-concept, and title and abstract are joined back to what is left.
+concept, and title and abstract are joined back to what is left, without a shuffle of the
+texts of papers that were not chosen.
 
 ``papers``: id, title, abstract, publication_year, cited_by_count,
 num_matched_concepts and, if it was stored, the ``readable`` flag. ``edges``: distinct (concept, paper_id), neither null.
@@ -10,9 +11,8 @@ Paper ids must be unique; with ``shard_col`` they need only be unique within a
 shard, the join stays inside a shard, and the tiles of the temporal and coverage
 strategies are formed per shard.
 
-Top-k cuts itself down before it shuffles. Tiles and percent ranks need a whole
-concept at once, so concepts with more than ``hot_rows`` edges (counted first)
-take another way to the same result, in which no task sees a whole concept.
+Top-k cuts itself down before it shuffles. Tiles and percent ranks follow from
+counts per value, so no task sees a whole concept, however many papers it has.
 
 Ties are broken by paper_id (for tiles: by md5 of it), so results are stable.
 """
@@ -28,14 +28,12 @@ from pyspark.sql import functions as F
 from citeweave import constants as C
 from citeweave.functions.text import has_text
 from citeweave.operators.ranking import (
-    HOT_ROWS,
-    ntile,
-    split_hot,
     spread_ntile,
     top_k,
     value_percent_rank,
     within_rank,
 )
+from citeweave.operators.semifilter import may_match
 from citeweave.schemas import READABLE
 from citeweave.session import ensure_checkpoint_dir
 
@@ -58,7 +56,7 @@ def citation_count(
     k: int = C.DEFAULT_K,
     concepts: Sequence[str] | None = None,
     shard_col: str | None = None,
-    stage: bool = False,
+    stage: bool = True,
 ) -> DataFrame:
     """Most cited papers first, unknown counts last."""
     rows = _tagged(papers, edges, concepts, shard_col, ["publication_year", "cited_by_count"])
@@ -72,7 +70,7 @@ def recency_weighted(
     k: int = C.DEFAULT_K,
     concepts: Sequence[str] | None = None,
     shard_col: str | None = None,
-    stage: bool = False,
+    stage: bool = True,
     current_year: int = C.RECENCY_REFERENCE_YEAR,
     decay_factor: float = C.RECENCY_DECAY,
     score_digits: int | None = None,
@@ -94,9 +92,8 @@ def temporal_diversity(
     k: int = C.DEFAULT_K,
     concepts: Sequence[str] | None = None,
     shard_col: str | None = None,
-    stage: bool = False,
+    stage: bool = True,
     time_buckets: int = C.TIME_BUCKETS,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Most cited papers of each of ``time_buckets`` equal slices of the years.
 
@@ -105,7 +102,7 @@ def temporal_diversity(
     """
     dated = papers.where(F.col("publication_year").isNotNull())
     chosen = _best_of_tiles(
-        dated, edges, concepts, shard_col, hot_rows,
+        dated, edges, concepts, shard_col,
         columns=["publication_year", "cited_by_count"],
         value="publication_year",
         tiles=time_buckets,
@@ -122,8 +119,7 @@ def coverage_diversity(
     k: int = C.DEFAULT_K,
     concepts: Sequence[str] | None = None,
     shard_col: str | None = None,
-    stage: bool = False,
-    hot_rows: int = HOT_ROWS,
+    stage: bool = True,
 ) -> DataFrame:
     """Most cited papers among narrow, medium and broad ones.
 
@@ -135,7 +131,7 @@ def coverage_diversity(
     middle = k - 2 * outer
     cited = papers.where(F.col("cited_by_count").isNotNull())
     chosen = _best_of_tiles(
-        cited, edges, concepts, shard_col, hot_rows,
+        cited, edges, concepts, shard_col,
         columns=["publication_year", "cited_by_count", _breadth()],
         value="num_matched_concepts",
         tiles=C.BREADTH_TIERS,
@@ -152,26 +148,15 @@ def hybrid(
     k: int = C.DEFAULT_K,
     concepts: Sequence[str] | None = None,
     shard_col: str | None = None,
-    stage: bool = False,
+    stage: bool = True,
     score_digits: int | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Lowest weighted sum of the percent ranks of citations, year and breadth."""
-    common, hot = split_hot(_of_concepts(edges, concepts), "concept", hot_rows)
     order = [F.asc_nulls_last("composite_score"), F.asc(PAPER_ID)]
     columns = ["publication_year", "cited_by_count", _breadth()]
-
-    ranked = _tagged(papers, common, None, shard_col, columns)
-    for value, out in SIGNALS.items():
-        window = W.partitionBy("concept").orderBy(F.desc_nulls_last(value))
-        ranked = ranked.withColumn(out, F.percent_rank().over(window))
-    scored = ranked.withColumn("composite_score", _composite(score_digits)).drop(*SIGNALS.values())
-    chosen = top_k(scored, ["concept"], order, k, PAPER_ID)
-
-    if hot is not None:
-        hot_papers = _tagged(papers, hot, None, shard_col, columns)
-        contenders = _hot_contenders(hot_papers, k, score_digits)
-        chosen = chosen.unionByName(top_k(contenders, ["concept"], order, k, PAPER_ID))
+    rows = _tagged(papers, edges, concepts, shard_col, columns)
+    contenders = _contenders(rows, k, score_digits)
+    chosen = top_k(contenders, ["concept"], order, k, PAPER_ID)
     return _with_text(chosen, papers, shard_col, stage)
 
 
@@ -181,7 +166,7 @@ def random_sample(
     k: int = C.DEFAULT_K,
     concepts: Sequence[str] | None = None,
     shard_col: str | None = None,
-    stage: bool = False,
+    stage: bool = True,
     seed: int = C.RANDOM_SEED,
 ) -> DataFrame:
     """k papers per concept, uniform for a given seed.
@@ -291,38 +276,50 @@ def _of_concepts(edges: DataFrame, concepts: Sequence[str] | None) -> DataFrame:
 
 
 def _with_text(
-    chosen: DataFrame, papers: DataFrame, shard_col: str | None, stage: bool
+    chosen: DataFrame, papers: DataFrame, shard_col: str | None, stage: bool = True
 ) -> DataFrame:
     """Join title and abstract back to the chosen rows.
 
-    With ``stage`` the chosen rows are checkpointed first. Their exact number is
-    then known, and if they fit they are broadcast, so that the text columns are
-    scanned but never shuffled. Otherwise Catalyst picks the join.
+    The chosen rows are checkpointed first, so that their exact size is known. If they fit
+    they are broadcast and texts are scanned, not shuffled. Beyond that, a bitmap of the
+    chosen ids goes to the scan, so that only texts of chosen papers (and a few by chance)
+    are shuffled. ``stage=False`` runs no job here and leaves the join to Catalyst.
     """
     on = [PAPER_ID] + ([shard_col] if shard_col else [])
-    if stage:
-        chosen = _staged(chosen)
     texts = papers.select(
         F.col("id").alias(PAPER_ID), "title", "abstract", *([shard_col] if shard_col else [])
     )
-    joined = chosen.join(texts, on)
+    return with_texts(chosen, texts, on, stage)
+
+
+def with_texts(
+    chosen: DataFrame, texts: DataFrame, on: Sequence[str], stage: bool = True
+) -> DataFrame:
+    """Chosen rows with the title and abstract of ``texts``, joined on ``on``."""
+    if stage:
+        ensure_checkpoint_dir(chosen.sparkSession)
+        chosen = chosen.checkpoint()
+        widths = sum(F.length(F.coalesce(F.col(c), F.lit(""))) for c in ("concept", PAPER_ID))
+        size = chosen.agg(F.sum(widths + F.lit(64))).first()[0] or 0
+        if size <= BROADCAST_BYTES:
+            chosen = F.broadcast(chosen)
+        else:
+            texts = may_match(texts, F.struct(*on), chosen, F.struct(*on))
+    joined = chosen.join(texts, list(on))
     lead = ["concept", "paper_id", "title", "abstract", "publication_year", "cited_by_count"]
     rest = [c for c in joined.columns if c not in (*lead, "rank")]
     return joined.select(*lead, *rest, "rank")
 
 
-def _staged(chosen: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(chosen.sparkSession)
-    chosen = chosen.checkpoint()
-    widths = sum(F.length(F.coalesce(F.col(c), F.lit(""))) for c in ("concept", PAPER_ID))
-    size = chosen.agg(F.sum(widths + F.lit(64))).first()[0] or 0
-    return F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen
-
-
 def _signal_ranks(rows: DataFrame) -> DataFrame:
     triples = rows.groupBy(
         "concept", "cited_by_count", "publication_year", "num_matched_concepts"
     ).agg(F.count(F.lit(1)).alias("n_papers"))
+    return triple_ranks(triples)
+
+
+def triple_ranks(triples: DataFrame) -> DataFrame:
+    """Percent ranks of (citations, year, breadth) triples with ``n_papers`` papers each."""
     ranked = triples
     for value, out in SIGNALS.items():
         shares = value_percent_rank(triples, ["concept"], value, "n_papers", out).select(
@@ -333,14 +330,14 @@ def _signal_ranks(rows: DataFrame) -> DataFrame:
     return ranked
 
 
-def _hot_contenders(rows: DataFrame, k: int, score_digits: int | None) -> DataFrame:
-    """Rows that can be among a hot concept's best k, with their composite score.
+def _contenders(rows: DataFrame, k: int, score_digits: int | None) -> DataFrame:
+    """Rows that can be among a concept's best k, with their composite score.
 
     The score depends on (citations, year, breadth) alone, so it is worked out
     per distinct triple of a concept. A triple with k or more better triples is
     out, since each of those holds a paper.
     """
-    scored = _signal_ranks(rows).withColumn("composite_score", _composite(score_digits))
+    scored = _signal_ranks(rows).withColumn("composite_score", composite(score_digits))
     best = within_rank(scored, ["concept"], [F.asc("composite_score")], k, "cited_by_count")
     triples = best.select(
         F.col("concept").alias("_concept"),
@@ -353,7 +350,7 @@ def _hot_contenders(rows: DataFrame, k: int, score_digits: int | None) -> DataFr
     return rows.join(triples, same).drop("_concept", *[f"_{s}" for s in SIGNALS])
 
 
-def _composite(digits: int | None) -> Column:
+def composite(digits: int | None) -> Column:
     return _rounded(
         C.HYBRID_WEIGHT_CITATIONS * F.col("citation_prank")
         + C.HYBRID_WEIGHT_RECENCY * F.col("recency_prank")
@@ -367,7 +364,6 @@ def _best_of_tiles(
     edges: DataFrame,
     concepts: Sequence[str] | None,
     shard_col: str | None,
-    hot_rows: int,
     columns: Sequence[str | Column],
     value: str,
     tiles: int,
@@ -376,17 +372,11 @@ def _best_of_tiles(
     max_k: int,
 ) -> DataFrame:
     """Most cited papers of every tile of every concept."""
-    common, hot = split_hot(_of_concepts(edges, concepts), "concept", hot_rows)
     keys = ([shard_col] if shard_col else []) + ["concept"]
+    rows = _tagged(papers, edges, concepts, shard_col, columns)
+    tiled = spread_ntile(rows, keys, value, PAPER_ID, tiles, tile_col)
     order = [_most_cited(), F.asc(PAPER_ID)]
-
-    def best(part: DataFrame, cut: Callable[..., DataFrame]) -> DataFrame:
-        rows = _tagged(papers, part, None, shard_col, columns)
-        tiled = cut(rows, keys, value, PAPER_ID, tiles, tile_col)
-        return top_k(tiled, ["concept", tile_col], order, k, PAPER_ID, max_k=max_k)
-
-    chosen = best(common, ntile)
-    return chosen if hot is None else chosen.unionByName(best(hot, spread_ntile))
+    return top_k(tiled, ["concept", tile_col], order, k, PAPER_ID, max_k=max_k)
 
 
 def _most_cited() -> Column:

@@ -6,17 +6,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeweave import constants as C
-from citeweave.functions.prompts import conversation, summary_prompt
+from citeweave.functions.prompts import conversation, left_out, summary_prompt
 from citeweave.functions.responses import (
     clean_response,
     has_error_key,
     is_json_object,
     object_text,
 )
+from citeweave.operators.numbering import number_rows
 from citeweave.operators.ranking import top_k
 from citeweave.schemas import RAW_RESPONSE, SUMMARY
 
@@ -45,18 +45,26 @@ def papers_of_concepts(
 
 
 def concept_prompts(
-    chosen: DataFrame, n: int = C.PROMPT_PAPERS, order: Sequence[str] = ("rank",)
+    chosen: DataFrame,
+    n: int = C.PROMPT_PAPERS,
+    order: Sequence[str] = ("rank",),
+    title_chars: int | None = C.PROMPT_TITLE_CHARS,
+    abstract_chars: int | None = C.PROMPT_ABSTRACT_CHARS,
 ) -> DataFrame:
+    """concept, prompt, and how many characters the cuts of titles and abstracts left out."""
+    cuts = (title_chars, abstract_chars)
     return papers_of_concepts(chosen, n, order).select(
-        "concept", summary_prompt("concept", "papers").alias("prompt")
+        "concept",
+        summary_prompt("concept", "papers", *cuts).alias("prompt"),
+        left_out("papers", *cuts).alias("chars_left_out"),
     )
 
 
 def concept_conversations(
-    chosen: DataFrame, n: int = C.PROMPT_PAPERS, order: Sequence[str] = ("rank",)
+    chosen: DataFrame, n: int = C.PROMPT_PAPERS, order: Sequence[str] = ("rank",), **cuts
 ) -> DataFrame:
     """concept, conversation: array of (role, content) with system and user message."""
-    return concept_prompts(chosen, n, order).select(
+    return concept_prompts(chosen, n, order, **cuts).select(
         "concept", conversation(F.col("prompt")).alias("conversation")
     )
 
@@ -111,20 +119,11 @@ def parse_responses(raw: DataFrame, column: str = "raw_response") -> DataFrame:
 def number_by_concept(results: DataFrame, id_col: str = "id") -> DataFrame:
     """Add 0-based numbers in order of concept (concepts are unique here).
 
-    Rows are counted per two-character prefix, which keeps the order, and then
-    numbered inside their prefix, so no task sees all rows.
+    Rows are sorted by ranges of the concept, however its names are spread, so no task
+    sees all rows.
     """
-    prefix = F.substring("concept", 1, 2)
-    marked = results.withColumn("_prefix", prefix)
-    counts = marked.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(W.orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select("_prefix", F.coalesce(upto, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_prefix").orderBy("concept"))
-    return (
-        marked.join(offsets, "_prefix")
-        .withColumn(id_col, F.col("_before") + inside - 1)
-        .drop("_prefix", "_before")
-    )
+    numbered = number_rows(results, [F.asc_nulls_first("concept")], id_col)
+    return numbered.withColumn(id_col, F.col(id_col) - 1)
 
 
 def run_stats(

@@ -9,6 +9,7 @@ from citeweave.functions.abstracts import rebuild_abstract, rebuild_abstract_jso
 from citeweave.functions.text import combined_text, year_in_range
 from citeweave.operators.matching import match_concepts, matched_arrays
 from citeweave.schemas import PAPER
+from citeweave.sources.works import usable
 
 
 def parse_works(
@@ -16,16 +17,17 @@ def parse_works(
 ) -> DataFrame:
     """Raw works to paper fields with defaults, abstract rebuilt.
 
-    Works without an id and works outside the years are left out. Other columns
-    (update date, source file) stay.
+    Lines that could not be read and works outside the years are left out; a work without
+    an id has ''. Other columns (update date, source file) stay.
     """
     fields = {
+        "id": F.coalesce("id", F.lit("")),
         "title": F.coalesce("title", F.lit("")),
         "abstract": _abstract(works),
         "cited_by_count": F.coalesce("cited_by_count", F.lit(0)),
         "counts_by_year": F.coalesce("counts_by_year", F.lit("[]")),
     }
-    kept = works.where(F.col("id").isNotNull())
+    kept = usable(works)
     if start_year or end_year:
         kept = kept.where(year_in_range("publication_year", start_year, end_year))
     return kept.withColumns(fields).drop("abstract_inverted_index", "_corrupt_record")

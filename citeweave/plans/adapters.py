@@ -7,9 +7,13 @@ of the keys put nulls, blanks and bad dates in.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeweave.session import scratch_dir
+
 # Fixed dictionary: nested, overlapping, inner-word and punctuation entries.
 DICTIONARY = [
     "the",
@@ -45,6 +49,21 @@ class Tables:
         """Documents where they lie: their files spread them, texts are not moved."""
         return self["documents"]
 
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is made once per application and then read from scratch.
+
+        The given documents can be one row group, which one task reads. Works and texts
+        made from them are written with as many files as there are cores, like tables that
+        an ingest has written.
+        """
+        if name not in self._read:
+            path = scratch_dir(self.spark, name)
+            parts = self.spark.sparkContext.defaultParallelism
+            made = make().repartition(parts)
+            made.write.parquet(path)
+            self._read[name] = self.spark.read.schema(made.schema).parquet(path)
+        return self._read[name]
+
     def dictionary(self) -> DataFrame:
         return self.spark.createDataFrame([(c,) for c in DICTIONARY], "concept string")
 
@@ -132,6 +151,33 @@ def tagged_orders(t: Tables) -> DataFrame:
     return papers.join(arrays, papers.id == arrays.paper_id).drop("paper_id")
 
 
+def arriving_orders(t: Tables) -> list[DataFrame]:
+    """Order papers as they arrive in two waves, versions in ``updated_date``.
+
+    By key, in threes: first a wrong version (more citations and a concept too many, a year
+    off, a readable title) that the second wave corrects; the right version first and an
+    outdated one after it; the right version once. What stands in the end are
+    ``order_papers`` and ``order_edges``.
+    """
+    right = tagged_orders(t).withColumn("updated_date", F.lit("2024-02-01"))
+    key = F.substring("id", 2, 20).cast("long")
+    wrong = right.withColumns(
+        {
+            "title": F.lit("Withdrawn"),
+            "abstract": F.lit("Withdrawn."),
+            "cited_by_count": F.coalesce("cited_by_count", F.lit(0)) + 500,
+            "publication_year": F.coalesce("publication_year", F.lit(1990)) + 1,
+            "num_matched_concepts": F.coalesce("num_matched_concepts", F.lit(0)) + 1,
+            "matched_concepts": F.concat("matched_concepts", F.array(F.lit("withdrawn"))),
+            "updated_date": F.lit("2024-01-01"),
+        }
+    )
+    corrected, outdated = key % 3 == 0, key % 3 == 1
+    first = wrong.where(corrected).unionByName(right.where(outdated | (key % 6 == 2)))
+    second = right.where(corrected | (key % 6 == 5)).unionByName(wrong.where(outdated))
+    return [first, second]
+
+
 def document_papers(t: Tables) -> DataFrame:
     """Documents as papers with the whole text as abstract."""
     return t.documents().select(
@@ -154,16 +200,22 @@ def document_edges(t: Tables) -> DataFrame:
 
 def document_texts(t: Tables) -> DataFrame:
     """id and combined title and text."""
+    return t.kept("texts", lambda: _document_texts(t))
+
+
+def document_works(t: Tables) -> DataFrame:
+    """Documents as raw works, the text turned into an inverted index."""
+    return t.kept("works", lambda: _document_works(t))
+
+
+def _document_texts(t: Tables) -> DataFrame:
     return t.documents().select(
         _document_id(), "source", F.concat(_first_line(), F.lit(" "), "text").alias("text")
     )
 
 
-def document_works(t: Tables) -> DataFrame:
-    """Documents as raw works, the text turned into an inverted index.
-
-    Words and positions are grouped per document, which a document bounds.
-    """
+def _document_works(t: Tables) -> DataFrame:
+    """Words and positions are grouped per document, which a document bounds."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     placed = t.documents().select("doc_id", F.posexplode(words).alias("pos", "word"))
     index = (
@@ -188,7 +240,7 @@ def document_works(t: Tables) -> DataFrame:
             F.concat(_document_year().cast("string"), F.lit("-01-01")).alias("publication_date"),
             F.col("source").alias("type"),
             _document_cites().alias("cited_by_count"),
-            F.lit(None).cast("string").alias("counts_by_year"),
+            _counts_by_year().alias("counts_by_year"),
             F.concat(
                 F.lit("2024-01-0"), (F.col("doc_id") % 3 + 1).cast("string")
             ).alias("updated_date"),
@@ -229,10 +281,10 @@ def dated_documents(t: Tables) -> DataFrame:
 
 
 def responses(t: Tables) -> DataFrame:
-    """Assistant turns as raw model responses in five forms."""
+    """Assistant turns as raw model responses in seven forms."""
     turn = F.concat(F.lit("C"), "conv_id", F.lit("-"), "turn")
     body = F.to_json(F.struct(turn.alias("concept"), F.col("text").alias("summary")))
-    form = F.col("conv_id") % 5
+    form = F.col("conv_id") % 7
     raw = (
         F.when(form == 0, body)
         .when(form == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
@@ -241,6 +293,14 @@ def responses(t: Tables) -> DataFrame:
             F.concat(F.lit("<|channel|>analysis think {\n} more<|end|>\n "), body, F.lit("\n")),
         )
         .when(form == 3, F.expr("substring(body, 1, length(body) - 1)"))
+        .when(
+            form == 4,
+            F.concat(
+                F.lit("<|channel|>commentary { about\n it <|end|>"), body,
+                F.lit("<|channel|>commentary }<|end|>"),
+            ),
+        )
+        .when(form == 5, F.concat(F.lit("<analysis>{ step\n1 }</analysis>\n```"), body, F.lit("```")))
         .otherwise(F.col("text"))
     )
     return (
@@ -256,6 +316,28 @@ def responses(t: Tables) -> DataFrame:
     )
 
 
+def shard_copies(t: Tables) -> DataFrame:
+    """Documents in four shards, those of even id in the following shard too, with one
+    citation more."""
+    base = t.documents().select(
+        _document_id(),
+        (F.col("doc_id") % 4).alias("shard"),
+        _document_year().alias("publication_year"),
+        _document_cites().alias("cited_by_count"),
+        "doc_id",
+    )
+    again = base.where("doc_id % 2 = 0").withColumns(
+        {"shard": (F.col("shard") + 1) % 4, "cited_by_count": F.col("cited_by_count") + 1}
+    )
+    return base.unionByName(again).drop("doc_id")
+
+
+def _counts_by_year() -> Column:
+    """A JSON list for one document in four, null for the others."""
+    entry = F.struct(_document_year().alias("year"), _document_cites().alias("cited_by_count"))
+    return F.when(F.col("doc_id") % 4 == 1, F.to_json(F.array(entry)))
+
+
 def _paper_id(key: str) -> Column:
     return F.concat(F.lit("W"), F.col(key).cast("string")).alias("paper_id")
 

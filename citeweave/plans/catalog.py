@@ -13,29 +13,21 @@ from citeweave.operators import budget, consolidate, distribution, matching, pai
 from citeweave.operators import representatives as rep
 from citeweave.operators import summaries, tagging
 from citeweave.plans import adapters as A
+from citeweave.plans.registry import query
 from citeweave.session import scratch_dir
 from citeweave.sources import works as works_source
 from citeweave.streaming import ingest, topk
 
 K = 30
+DEEP_K = 1200
 SCORE_DIGITS = 6
 GENERATION_SECONDS = 12.5
 STARTUP_SECONDS = 90.0
 
-Query = Callable[[A.Tables], DataFrame]
-_REGISTRY: dict[str, Query] = {}
-
-
-def query(fn: Query) -> Query:
-    _REGISTRY[fn.__name__] = fn
-    return fn
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(fn: Query):
-        return lambda spark, folder: fn(A.open_tables(spark, folder))
+    from citeweave.plans import stored  # registers its own, with helpers from here
 
-    return {name: bind(fn) for name, fn in _REGISTRY.items()}
+    return stored.registered()
 
 
 # --- representative papers ---------------------------------------------------
@@ -104,6 +96,12 @@ def rep_random(t):
     return _representatives(t, "random")
 
 
+@query
+def rep_citation_deep(t):
+    """More papers a concept than Spark's own cut before the shuffle allows."""
+    return rep.citation_count(A.order_papers(t), A.order_edges(t), DEEP_K)
+
+
 @query
 def signal_percent_ranks(t):
     ranks = rep.signal_percent_ranks(A.order_papers(t), A.order_edges(t))
@@ -111,18 +109,54 @@ def signal_percent_ranks(t):
     return ranks.withColumns({c: F.round(c, SCORE_DIGITS) for c in shares})
 
 
-@query
-def rep_citation_incremental(t):
-    """Papers arrive in four files; the state after the last one."""
+def _arrived(t: A.Tables, strategy: str, **options) -> DataFrame:
+    """Versions of papers arrive in two waves of two files; the rows after the last one."""
     arriving = scratch_dir(t.spark, "arriving")
-    tagged = A.tagged_orders(t)
-    tagged.repartition(4, "id").write.parquet(arriving)
-    stream = t.spark.readStream.schema(tagged.schema).option("maxFilesPerTrigger", 2)
+    for wave in A.arriving_orders(t):
+        wave.repartition(2, "id").write.mode("append").parquet(arriving)
+    papers = t.spark.read.parquet(arriving)
+    stream = t.spark.readStream.schema(papers.schema).option("maxFilesPerTrigger", 2)
     state = scratch_dir(t.spark, "state")
-    topk.update_top_k(
-        t.spark, stream.parquet(arriving), state, scratch_dir(t.spark, "progress"), K
+    topk.update_representatives(
+        t.spark,
+        stream.parquet(arriving),
+        state,
+        scratch_dir(t.spark, "progress"),
+        [strategy],
+        K,
+        options={strategy: options},
     )
-    return topk.current_top_k(t.spark, state)
+    return topk.current_representatives(t.spark, state, papers, strategy, K, **options)
+
+
+@query
+def rep_citation_incremental(t):
+    return _arrived(t, "citation")
+
+
+@query
+def rep_recency_incremental(t):
+    return _arrived(t, "recency", score_digits=SCORE_DIGITS)
+
+
+@query
+def rep_random_incremental(t):
+    return _arrived(t, "random")
+
+
+@query
+def rep_temporal_incremental(t):
+    return _arrived(t, "temporal")
+
+
+@query
+def rep_coverage_incremental(t):
+    return _arrived(t, "coverage")
+
+
+@query
+def rep_hybrid_incremental(t):
+    return _arrived(t, "hybrid", score_digits=SCORE_DIGITS)
 
 
 # --- distribution ------------------------------------------------------------

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from citeweave import constants as C
+from citeweave.plans import stored_oracles
 from citeweave.plans.adapters import DICTIONARY
-from citeweave.plans.catalog import GENERATION_SECONDS, K, STARTUP_SECONDS
+from citeweave.plans.catalog import DEEP_K, GENERATION_SECONDS, K, STARTUP_SECONDS
 
 ORDERS = """
 WITH concept_papers AS (
@@ -97,10 +98,12 @@ def _matches(text: str) -> str:
       || '([^\\p{{L}}\\p{{N}}]|$)') END"""
 
 
-def _top(order: str, columns: str = SHOWN, source: str = "base", per: str = "concept") -> str:
+def _top(
+    order: str, columns: str = SHOWN, source: str = "base", per: str = "concept", k: int = K
+) -> str:
     return f"""SELECT {columns}, r AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY {per} ORDER BY {order}) AS r FROM {source}
-    ) WHERE r <= {K}"""
+    ) WHERE r <= {k}"""
 
 
 def _temporal(per: str) -> str:
@@ -165,6 +168,10 @@ COUNTS = f"""{ORDERS},
 counts AS (SELECT concept, count(*) AS paper_count FROM concept_papers GROUP BY concept)"""
 
 
+COUNTS_BY_YEAR = """CASE WHEN doc_id % 4 = 1 THEN '[{"year":' || publication_year
+    || ',"cited_by_count":' || cited_by_count || '}]' ELSE '[]' END"""
+
+
 def _papers_of_works() -> str:
     return f"""{DOCUMENTS}, {FIXED_DICTIONARY},
 hits AS (
@@ -175,7 +182,7 @@ hits AS (
 )
 SELECT docs.id AS id, title, words AS abstract, publication_year,
   publication_year || '-01-01' AS publication_date, source AS type, cited_by_count,
-  '[]' AS counts_by_year, concepts, num_matched_concepts
+  {COUNTS_BY_YEAR} AS counts_by_year, concepts, num_matched_concepts
 FROM docs JOIN hits ON docs.id = hits.id"""
 
 
@@ -226,13 +233,15 @@ prompts AS (
         || chr(10) || '  Abstract: ' || substring(abstract, 1, {C.PROMPT_ABSTRACT_CHARS})
         || chr(10) || '  Year: ' || publication_year
         || chr(10) || '  Citations: ' || cited_by_count, chr(10) || chr(10) ORDER BY r)
-    || chr(10) || chr(10) || {_sql_text(C.PROMPT_INSTRUCTIONS)} AS prompt
+    || chr(10) || chr(10) || {_sql_text(C.PROMPT_INSTRUCTIONS)} AS prompt,
+    CAST(sum(greatest(length(title) - {C.PROMPT_TITLE_CHARS}, 0)
+      + greatest(length(abstract) - {C.PROMPT_ABSTRACT_CHARS}, 0)) AS BIGINT) AS chars_left_out
   FROM firsts GROUP BY concept
 )"""
 
 RESPONSES = r"""
 WITH turns AS (
-  SELECT 'C' || conv_id || '-' || turn AS concept, text, conv_id % 5 AS form,
+  SELECT 'C' || conv_id || '-' || turn AS concept, text, conv_id % 7 AS form,
     CAST(json_object('concept', 'C' || conv_id || '-' || turn, 'summary', text) AS VARCHAR) AS body
   FROM conversations WHERE role = 'assistant'
 ),
@@ -243,13 +252,17 @@ raw AS (
       WHEN 2 THEN '<|channel|>analysis think {' || chr(10) || '} more<|end|>' || chr(10) || ' '
         || body || chr(10)
       WHEN 3 THEN substring(body, 1, length(body) - 1)
+      WHEN 4 THEN '<|channel|>commentary { about' || chr(10) || ' it <|end|>' || body
+        || '<|channel|>commentary }<|end|>'
+      WHEN 5 THEN '<analysis>{ step' || chr(10) || '1 }</analysis>' || chr(10) || '```' || body
+        || '```'
       ELSE text END AS raw_response
   FROM turns
 ),
 cleaned AS (
   SELECT *, trim(regexp_replace(regexp_replace(raw_response,
-      '(?s)<\|channel\|>analysis.*?<\|end\|>', '', 'g'), '```json|```', '', 'g'),
-      ' ' || chr(9) || chr(10) || chr(13)) AS cleaned
+      '(?s)<\|channel\|>(analysis|commentary).*?<\|end\|>|<analysis>.*?</analysis>', '', 'g'),
+      '```json|```', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS cleaned
   FROM raw
 ),
 found AS (
@@ -269,12 +282,21 @@ results AS (
 """
 
 
+# What has arrived in any order and been corrected is what stands in the end.
+INCREMENTAL = ["citation", "recency", "random", "temporal", "coverage", "hybrid"]
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql() | stored_oracles.stored_sql()
+    return found | {f"rep_{s}_incremental": found[f"rep_{s}"] for s in INCREMENTAL}
+
+
+def _oracle_sql() -> dict[str, str]:
     citation = f"{ORDERS} {_top(MOST_CITED)}"
     match_fixed = _match_query(FIXED_DICTIONARY)
     return {
         "rep_citation": citation,
-        "rep_citation_incremental": citation,
+        "rep_citation_deep": f"{ORDERS} {_top(MOST_CITED, k=DEEP_K)}",
         "rep_citation_per_shard": f"""{ORDERS}
 SELECT shard, concept, paper_id, publication_year, cited_by_count, r AS rank_in_shard FROM (
   SELECT *, row_number() OVER (PARTITION BY shard, concept ORDER BY {MOST_CITED}) AS r FROM base
@@ -406,7 +428,7 @@ SELECT concept, n_papers, total_tokens, max_tokens_per_paper, context_window,
   CAST(floor((context_window - 2000) / 400) AS BIGINT) AS k_long_papers,
   total_tokens > context_window - 2000 AS exceeds_budget
 FROM each""",
-        "concept_prompts": f"{PROMPTS} SELECT concept, prompt FROM prompts",
+        "concept_prompts": f"{PROMPTS} SELECT concept, prompt, chars_left_out FROM prompts",
         "concept_conversations": f"""{PROMPTS}
 SELECT concept, 'system' AS first_role, {_sql_text(C.SYSTEM_MESSAGE)} AS first_content,
   'user' AS second_role, prompt AS second_content FROM prompts""",

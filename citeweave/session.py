@@ -47,3 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point ``checkpoint()`` at the shared folder if the session has none yet."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that the library wrote and needs no more, wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -16,11 +16,21 @@ from citeweave.schemas import READABLE
 
 
 def write_papers(
-    papers: DataFrame, path: str, mode: str = "error", rows_per_file: int = C.DOCS_PER_BATCH
+    papers: DataFrame,
+    path: str,
+    mode: str = "error",
+    rows_per_file: int = C.DOCS_PER_BATCH,
+    shard_col: str | None = None,
 ) -> None:
-    """Papers with the ``readable`` flag, in files of at most ``rows_per_file`` rows."""
-    papers = with_readable(papers)
-    _zstd(papers.write.mode(mode).option("maxRecordsPerFile", rows_per_file), path)
+    """Papers with the ``readable`` flag, in files of at most ``rows_per_file`` rows.
+
+    Rows are first dealt into even portions of bytes (AQE splits large and merges small
+    ones), so neither many small files nor a few huge ones come out. With ``shard_col``
+    each shard has a folder.
+    """
+    papers = with_readable(papers).hint("rebalance", *([shard_col] if shard_col else []))
+    writer = papers.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+    _zstd(_sharded(writer, shard_col), path)
 
 
 def with_readable(papers: DataFrame) -> DataFrame:
@@ -28,16 +38,17 @@ def with_readable(papers: DataFrame) -> DataFrame:
     return papers.withColumn(READABLE, F.coalesce(flag, F.lit(False)))
 
 
-def write_edges(edges: DataFrame, path: str, mode: str = "error") -> None:
+def write_edges(
+    edges: DataFrame, path: str, mode: str = "error", shard_col: str | None = None
+) -> None:
     """Edges in order of (concept, paper_id), so that a concept filter skips files.
 
     The paper id in the range key lets a concept with very many papers be shared
-    out among files.
+    out among files. With ``shard_col`` each shard has a folder.
     """
-    ordered = edges.repartitionByRange("concept", "paper_id").sortWithinPartitions(
-        "concept", "paper_id"
-    )
-    _zstd(ordered.write.mode(mode), path)
+    order = [*([shard_col] if shard_col else []), "concept", "paper_id"]
+    ordered = edges.repartitionByRange(*order).sortWithinPartitions(*order)
+    _zstd(_sharded(ordered.write.mode(mode), shard_col), path)
 
 
 def save_joinable(papers: DataFrame, edges: DataFrame, prefix: str, buckets: int) -> None:
@@ -75,5 +86,9 @@ def write_summaries(
     results.select("concept", "raw_response").write.mode(mode).json(f"{path}/raw_responses")
 
 
+def _sharded(writer, shard_col: str | None):
+    return writer.partitionBy(shard_col) if shard_col else writer
+
+
 def _zstd(writer, path: str) -> None:
     writer.option("compression", "zstd").parquet(path)

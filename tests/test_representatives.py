@@ -3,8 +3,10 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citeweave.functions.text import has_text
 from citeweave.operators import representatives as rep
 from tests.conftest import rows
 
@@ -123,12 +125,37 @@ def test_hybrid_against_pandas(spark):
     assert sorted(zip(got.concept, got.paper_id)) == sorted(zip(best.concept, best.paper_id))
 
 
-@pytest.mark.parametrize("k", [1, 9])
+def whole_concepts(papers, edges, strategy, k, shard):
+    """The definition with window functions over whole concepts."""
+    keys = ([shard] if shard else []) + ["concept"]
+    on = ["paper_id"] + ([shard] if shard else [])
+    rows = edges.join(papers.withColumnRenamed("id", "paper_id"), on)
+    rows = rows.where(has_text("title") & has_text("abstract"))
+    breadth = F.coalesce("num_matched_concepts", F.lit(1))
+    if strategy == "hybrid":
+        rows = rows.withColumn("num_matched_concepts", breadth)
+        share = lambda c: F.percent_rank().over(W.partitionBy("concept").orderBy(F.desc_nulls_last(c)))
+        score = 0.5 * share("cited_by_count") + 0.3 * share("publication_year")
+        rows = rows.withColumn("score", F.round(score + 0.2 * share("num_matched_concepts"), 9))
+        tile, order, most = F.lit(0), ["score", "paper_id"], F.lit(k)
+    else:
+        temporal = strategy == "temporal"
+        value = F.col("publication_year") if temporal else breadth
+        rows = rows.where("publication_year is not null" if temporal else "cited_by_count is not null")
+        window = W.partitionBy(*keys).orderBy(value, F.md5("paper_id"), "paper_id")
+        tile, order = F.ntile(5 if temporal else 3).over(window), [F.desc_nulls_last("cited_by_count"), "paper_id"]
+        most = F.lit(max(1, k // 5)) if temporal else F.when(F.col("tile") == 2, k - 2 * (k // 3)).otherwise(k // 3)
+    rows = rows.withColumn("tile", tile)
+    place = F.row_number().over(W.partitionBy("concept", "tile").orderBy(*order))
+    return rows.withColumn("rank", place).where(F.col("rank") <= most)
+
+
+@pytest.mark.parametrize("k", [1, 9, 1500])
 @pytest.mark.parametrize(
     "strategy, shard",
     [("temporal", None), ("temporal", "shard"), ("coverage", "shard"), ("hybrid", None)],
 )
-def test_hot_concepts_take_another_way_to_the_same_rows(spark, strategy, k, shard):
+def test_counts_give_the_rows_of_whole_concepts(spark, strategy, k, shard):
     papers, edges = generated(spark)
     if shard:
         shards = papers.select(F.col("id").alias("paper_id"), "shard")
@@ -136,10 +163,11 @@ def test_hot_concepts_take_another_way_to_the_same_rows(spark, strategy, k, shar
     options = {"k": k, "shard_col": shard}
     if strategy == "hybrid":
         options["score_digits"] = 9
-    plain = rep.select_representatives(papers, edges, strategy, **options)
-    for hot_rows in (0, 300):
-        spread = rep.select_representatives(papers, edges, strategy, hot_rows=hot_rows, **options)
-        assert rows(spread) == rows(plain)
+    tile = {"temporal": ["time_bucket"], "coverage": ["breadth_tier"], "hybrid": []}[strategy]
+    got = rep.select_representatives(papers, edges, strategy, **options)
+    want = whole_concepts(papers, edges, strategy, k, shard)
+    columns = ["concept", "paper_id", "rank"]
+    assert rows(got, *columns, *tile) == rows(want, *columns, *(["tile"] if tile else []))
 
 
 def test_shards_change_tiles(spark):
@@ -194,12 +222,6 @@ def test_k_beyond_the_group_limit(spark):
     assert list(got.paper_id) == list(want.id[:2000])
 
 
-def test_hot_hybrid_beyond_the_group_limit(spark):
-    papers, edges = generated(spark)
-    plain = rep.hybrid(papers, edges, 1500, score_digits=9)
-    assert rows(rep.hybrid(papers, edges, 1500, score_digits=9, hot_rows=0)) == rows(plain)
-
-
 def test_named_concepts(spark):
     papers, edges = generated(spark)
     want = [r for r in chosen(rep.citation_count(papers, edges, 3)) if r[0] in ("a", "it's")]

@@ -2,6 +2,7 @@ import json
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from citeweave import constants as C
 from citeweave.operators import summaries
@@ -22,7 +23,13 @@ def chosen(spark):
 
 
 def test_prompt_text(spark):
-    prompts = dict(rows(summaries.concept_prompts(chosen(spark), 3)))
+    found = summaries.concept_prompts(chosen(spark), 3)
+    whole = summaries.concept_prompts(chosen(spark), 3, title_chars=None, abstract_chars=None)
+    cut = {r.concept: len(r.prompt) for r in found.collect()}
+    for row in whole.collect():
+        left_out = found.where(F.col("concept") == row.concept).first().chars_left_out
+        assert row.chars_left_out == 0 and len(row.prompt) == cut[row.concept] + left_out
+    prompts = dict(rows(found, "concept", "prompt"))
     head = 'Based on the following representative papers for the concept "x", provide a concise'
     assert prompts["x"].startswith(head)
     blocks = prompts["x"].split("\n\n")
