@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-Every tree cuts space by hyperplanes between two random points at the median of a
-sample, down to small leaves. The forest is fitted on at most ``sample_rows`` vectors
-(those with the smallest hashes of their id) and every vector is put into its leaf of
-every tree. A query walks all trees through one priority queue, the nearest side of any
-cut first, until its leaves hold ``search_share`` of the sample (a vector counts in each
-tree); all vectors in these leaves are ranked by their exact distance. Vectors without
-clusters need a large share for a high recall, clustered ones a small one.
-
-Equal vectors are one entry with their ``k + 1`` smallest ids, which are all that a
-result can hold. Leaves are dealt over tasks; no task needs all vectors or all queries.
+Every tree cuts space by hyperplanes between two random points at the median of a sample,
+down to small leaves. The forest is fitted on at most ``sample_rows`` vectors (those with
+the smallest hashes of their id), and every vector is put into its leaf of every tree. A
+query walks all trees through one priority queue, the nearest side of any cut first, until
+the leaves it has met hold ``search_share`` of the sample (each sample vector counted once,
+in however many leaves it was met), ``search_least`` vectors at least; all vectors in these leaves are ranked by their exact
+distance. Vectors without clusters need a large share for a high recall, clustered ones a
+small one.
+
+Equal vectors are one entry with their ``k + 1`` smallest ids, which are all that a result
+can hold. Vectors are dealt into slices with the numbers of their leaves beside them, and
+queries, with the leaves that they reach, into parts; a task ranks one slice for one part.
+So a vector is shuffled once for some thousands of queries, not once for each tree, and no
+task needs all vectors or all queries.
 
 Defined cases: vectors that are null, empty or zero, or hold a null or a non-finite
 component, take no part, nor do rows with a null id or vectors whose length isn't the
@@ -30,15 +34,19 @@ from pyspark.sql import functions as F
 
 from citeweave.llm.common import slices, stored
 
-# Index entries per group of leaves, about.
-GROUP_ENTRIES = 40_000
+# Vectors and queries that one task ranks against each other, about.
+SLICE_VECTORS = 8192
+PART_QUERIES = 4096
 
 
 class Tree:
-    """Cuts as arrays: node i has ``normals[i] · x > offsets[i]``; leaves are ~number."""
+    """Cuts as arrays: node i has ``normals[i] · x > offsets[i]``; leaves are ~number.
+
+    ``members`` are the sample rows in each leaf.
+    """
 
     def __init__(self, vectors: np.ndarray, leaf: int, random: np.random.Generator):
-        normals, offsets, children, sizes = [], [], [], []
+        normals, offsets, children, members = [], [], [], []
         todo = [(np.arange(len(vectors)), None, 0)]
         while todo:
             rows, parent, side = todo.pop()
@@ -59,13 +67,13 @@ class Tree:
                         children[parent][side] = name
                     continue
             if parent is not None:
-                children[parent][side] = ~len(sizes)
-            sizes.append(len(rows))
+                children[parent][side] = ~len(members)
+            members.append(rows)
         dim = vectors.shape[1]
         self.normals = np.array(normals, np.float32).reshape(-1, dim)
         self.offsets = np.array(offsets, np.float32)
         self.children = np.array(children, np.int64).reshape(-1, 2)
-        self.sizes = np.array(sizes, np.int64)
+        self.members = members
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of every vector."""
@@ -81,33 +89,44 @@ class Tree:
         return ~node
 
 
-def build_forest(vectors: np.ndarray, trees: int, leaf: int, seed: int = 11) -> list[Tree]:
-    random = np.random.default_rng(seed)
-    vectors = vectors.astype(np.float32)
-    return [Tree(vectors, leaf, random) for _ in range(trees)]
-
-
-def probe(forest: list[Tree], queries: np.ndarray, search: int) -> list[list[tuple[int, int]]]:
-    """Per query the (tree, leaf) pairs that one queue over all trees reaches."""
-    heights = [queries.astype(np.float32) @ t.normals.T - t.offsets for t in forest]
-    out = []
-    for q in range(len(queries)):
-        rows = [h[q].tolist() for h in heights]
-        queue = [(-np.inf, t, 0 if len(tree.normals) else ~0) for t, tree in enumerate(forest)]
-        heapq.heapify(queue)
-        found, held = [], 0
-        while queue and held < search:
-            cost, t, node = heapq.heappop(queue)
-            if node < 0:
-                found.append((t, ~node))
-                held += int(forest[t].sizes[~node])
-                continue
-            height = rows[t][node]
-            low, high = forest[t].children[node].tolist()
-            heapq.heappush(queue, (max(cost, height), t, low))
-            heapq.heappush(queue, (max(cost, -height), t, high))
-        out.append(found)
-    return out
+class Forest:
+    def __init__(self, sample: np.ndarray, trees: int, leaf: int, seed: int = 11):
+        random = np.random.default_rng(seed)
+        sample = sample.astype(np.float32)
+        self.size = len(sample)
+        self.trees = [Tree(sample, leaf, random) for _ in range(trees)]
+
+    def leaves(self, vectors: np.ndarray) -> np.ndarray:
+        """The leaf of every vector in every tree."""
+        return np.stack([tree.leaves(vectors) for tree in self.trees], 1).astype(np.int32)
+
+    def probe(self, queries: np.ndarray, search: int) -> list[list[tuple[int, int]]]:
+        """Per query the (tree, leaf) pairs that one queue over all trees reaches."""
+        queries = queries.astype(np.float32)
+        bases = np.cumsum([0, *(len(tree.normals) for tree in self.trees)]).tolist()
+        normals = np.concatenate([tree.normals for tree in self.trees])
+        offsets = np.concatenate([tree.offsets for tree in self.trees])
+        heights = queries @ normals.T - offsets
+        children = [tree.children.tolist() for tree in self.trees]
+        out = []
+        for row in heights:
+            row, found, seen, held = row.tolist(), [], np.zeros(self.size, bool), 0
+            queue = [(-np.inf, t, 0 if own else ~0) for t, own in enumerate(children)]
+            heapq.heapify(queue)
+            while queue and held < search:
+                cost, t, node = heapq.heappop(queue)
+                if node < 0:
+                    found.append((t, ~node))
+                    rows = self.trees[t].members[~node]
+                    held += len(rows) - int(seen[rows].sum())
+                    seen[rows] = True
+                    continue
+                height = row[bases[t] + node]
+                low, high = children[t][node]
+                heapq.heappush(queue, (max(cost, height), t, low))
+                heapq.heappush(queue, (max(cost, -height), t, high))
+            out.append(found)
+        return out
 
 
 def usable(vector: Column) -> Column:
@@ -122,41 +141,35 @@ def _stack(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _index(shared, dim: int, groups: int):
+def _index(shared, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
         for batch in slices(batches, 2048):
             vectors = _stack(batch.column("vector"), dim).astype(np.float32)
-            for number, tree in enumerate(forest):
-                leaf = tree.leaves(vectors)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((leaf * len(forest) + number) % groups, pa.int64()),
-                        pa.array(leaf * len(forest) + number, pa.int64()),
-                        batch.column("ids"),
-                        batch.column("vector"),
-                    ],
-                    names=["group", "leaf", "ids", "vector"],
-                )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(forest.leaves(vectors)), pa.list_(pa.int32())),
+                    batch.column("ids"),
+                    batch.column("vector"),
+                ],
+                names=["leaves", "ids", "vector"],
+            )
 
     return run
 
 
-def _probes(shared, dim: int, groups: int, search: int):
+def _probes(shared, dim: int, search: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
         for batch in slices(batches, 256):
-            found = probe(forest, _stack(batch.column("vector"), dim), search)
-            rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            leaf = np.array([b * len(forest) + a for f in found for a, b in f], np.int64)
+            found = forest.probe(_stack(batch.column("vector"), dim), search)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(leaf % groups, pa.int64()),
-                    pa.array(leaf, pa.int64()),
-                    batch.column("query").take(pa.array(rows, pa.int64())),
-                    batch.column("vector").take(pa.array(rows, pa.int64())),
+                    pa.array([np.array(f, np.int32).ravel() for f in found], pa.list_(pa.int32())),
+                    batch.column("query"),
+                    batch.column("vector"),
                 ],
-                names=["group", "leaf", "query", "vector"],
+                names=["probes", "query", "vector"],
             )
 
     return run
@@ -178,30 +191,30 @@ def nearest(
 
 def _rank(dim: int, k: int):
     def run(index: pa.Table, probes: pa.Table) -> pa.Table:
-        empty = {"query": [], "vec_id": [], "score": []}
+        found = {"query": [], "vec_id": [], "score": []}
         if index.num_rows and probes.num_rows:
             lists = index.column("ids").combine_chunks()
             per = np.diff(lists.offsets.to_numpy())
             ids = lists.flatten().to_numpy()
-            vectors = np.repeat(_stack(index.column("vector"), dim).astype(float), per, axis=0)
-            leaf = np.repeat(index.column("leaf").to_numpy(), per)
-            order = np.argsort(leaf, kind="stable")
-            leaf, ids, vectors = leaf[order], ids[order], vectors[order]
-            asked = probes.column("query").to_numpy()
-            wanted = probes.column("leaf").to_numpy()
+            owner = np.repeat(np.arange(index.num_rows), per)
+            vectors = _stack(index.column("vector"), dim).astype(float)
+            leaves = _stack(index.column("leaves"), len(index.column("leaves")[0]))
             queries = _stack(probes.column("vector"), dim).astype(float)
-            lows = np.searchsorted(leaf, wanted, "left")
-            highs = np.searchsorted(leaf, wanted, "right")
-            for query in np.unique(asked):
-                mine = np.flatnonzero(asked == query)
-                rows = np.concatenate([np.arange(lows[i], highs[i]) for i in mine])
-                found, scores = nearest(queries[mine[0]], vectors[rows], ids[rows], k)
-                empty["query"].append(np.full(len(found), query))
-                empty["vec_id"].append(found)
-                empty["score"].append(scores)
+            most = int(leaves.max()) + 1
+            for row, query in enumerate(probes.column("query").to_pylist()):
+                pairs = np.array(probes.column("probes")[row].as_py()).reshape(-1, 2)
+                reached = np.zeros((leaves.shape[1], most), bool)
+                pairs = pairs[pairs[:, 1] < most]
+                reached[pairs[:, 0], pairs[:, 1]] = True
+                met = reached[np.arange(leaves.shape[1]), leaves].any(axis=1)
+                mine = np.flatnonzero(met[owner])
+                nearby, scores = nearest(queries[row], vectors[owner[mine]], ids[mine], k)
+                found["query"].append(np.full(len(nearby), query))
+                found["vec_id"].append(nearby)
+                found["score"].append(scores)
         kinds = {"query": np.int64, "vec_id": np.int64, "score": float}
         return pa.table(
-            {n: np.concatenate([np.empty(0, kinds[n]), *v]).astype(kinds[n]) for n, v in empty.items()}
+            {n: np.concatenate([np.empty(0, kinds[n]), *v]).astype(kinds[n]) for n, v in found.items()}
         )
 
     return run
@@ -212,9 +225,10 @@ def search_neighbours(
     vectors: DataFrame,
     is_query: Column,
     k: int = 10,
-    trees: int = 20,
-    leaf: int = 64,
-    search_share: float = 0.55,
+    trees: int = 16,
+    leaf: int = 32,
+    search_share: float = 0.5,
+    search_least: int = 1500,
     sample_rows: int = 50_000,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -244,24 +258,29 @@ def search_neighbours(
     sample = entries.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample_rows)
     sample = np.array(sample.select("vector").toArrow().column(0).combine_chunks().flatten())
     sample = sample.reshape(-1, dim)
-    forest = spark.sparkContext.broadcast(build_forest(sample, trees, leaf))
-    search = max(1, round(search_share * len(sample)))
-    groups = 1 + entries.count() * trees // GROUP_ENTRIES
+    shared = spark.sparkContext.broadcast(Forest(sample, trees, leaf))
+    search = max(search_least, round(search_share * len(sample)))
 
     kind = dict(rows.dtypes)["vector"]
-    index = entries.mapInArrow(
-        _index(forest, dim, groups), f"group long, leaf long, ids array<bigint>, vector {kind}"
-    )
     asked = rows.where(is_query).groupBy("vector").agg(F.min("vec_id").alias("query"))
     asked = stored(spark, asked, "asked")
-    probes = asked.mapInArrow(
-        _probes(forest, dim, groups, search), f"group long, leaf long, query long, vector {kind}"
-    )
+    n_slices = 1 + entries.count() // SLICE_VECTORS
+    n_parts = 1 + asked.count() // PART_QUERIES
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+
+    index = entries.mapInArrow(
+        _index(shared, dim), f"leaves array<int>, ids array<bigint>, vector {kind}"
+    ).select(F.pmod(F.xxhash64("ids"), F.lit(n_slices)).alias("slice"), every(n_parts).alias("part"), "*")
+    tasks = spark.sparkContext.defaultParallelism
+    probes = asked.repartition(tasks, "query").mapInArrow(
+        _probes(shared, dim, search), f"probes array<int>, query long, vector {kind}"
+    ).select(every(n_slices).alias("slice"), F.pmod(F.xxhash64("query"), F.lit(n_parts)).alias("part"), "*")
     found = (
-        index.groupBy("group")
-        .cogroup(probes.groupBy("group"))
+        index.groupBy("slice", "part")
+        .cogroup(probes.groupBy("slice", "part"))
         .applyInArrow(_rank(dim, k + 1), "query long, vec_id long, score double")
-        .dropDuplicates(["query", "vec_id"])
     )
     nearest_first = Window.partitionBy("query").orderBy("score", "vec_id")
     found = found.withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= k + 1)

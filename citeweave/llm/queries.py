@@ -98,7 +98,8 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return substring.digests(substring.remove_repeats(spark, _table(spark, folder, "documents")))
+    found = substring.remove_repeats(spark, _table(spark, folder, "documents"))
+    return substring.digests(found)
 
 
 def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,6 +201,20 @@ def _license_sql() -> str:
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+# Levels of doubling; no text of the given tables has a longer repeat.
+LEVELS = [50 << i for i in range(10)]
+
+
+def _longer_sql(length: int) -> str:
+    """Places at which a window of ``length`` words stands in two classes."""
+    half = length // 2
+    return f"""
+    h{length} as (select r.id, r.s, md5(array_to_string(c.w[r.s:r.s + {length - 1}], ' ')) h
+        from r{half} r join r{half} q on q.id = r.id and q.s = r.s + {half} join c on c.id = r.id),
+    r{length} as (select id, s from h{length}
+        join (select h from h{length} group by h having min(id) < max(id)) using (h)),"""
+
+
 SUBSTRING_SQL = rf"""
     with d as (select doc_id, {WORDS_SQL} w from documents),
     starts as (select doc_id, w, unnest(range(1, len(w) - 48)) s from d where len(w) >= 50),
@@ -207,12 +222,20 @@ SUBSTRING_SQL = rf"""
     least as (select h, min(doc_id) m from win group by h),
     hit as (select distinct win.doc_id, unnest(range(s, s + 50)) i
             from win join least using (h) where m < win.doc_id),
-    gone as (select doc_id, list(distinct i) g from hit group by doc_id)
-    select d.doc_id, len(w)::bigint n_words, coalesce(len(g), 0)::bigint n_removed,
-           sha256(array_to_string(case when g is null then w else
-               list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(g, i)),
-                              lambda i: w[i]) end, ' ')) kept_sha256
-    from d left join gone using (doc_id)"""
+    gone as (select doc_id, list(distinct i) g from hit group by doc_id),
+    c as (select min(doc_id) id, w from d group by w),
+    h50 as (select doc_id id, s, h from win where doc_id in (select id from c)),
+    r50 as (select id, s from h50
+        join (select h from h50 group by h having min(id) < max(id)) using (h)),
+    {"".join(_longer_sql(n) for n in LEVELS[1:])}
+    longest as (select id, max(n) longest from (
+        {" union all ".join(f"select id, {n} n from r{n}" for n in LEVELS)}) group by id)
+    select d.doc_id, len(d.w)::bigint n_words, coalesce(len(g), 0)::bigint n_removed,
+           sha256(array_to_string(case when g is null then d.w else
+               list_transform(list_filter(range(1, len(d.w) + 1), lambda i: not list_contains(g, i)),
+                              lambda i: d.w[i]) end, ' ')) kept_sha256,
+           coalesce(longest, 0)::bigint longest
+    from d left join gone using (doc_id) join c on c.w = d.w left join longest on longest.id = c.id"""
 
 JACCARD_SQL = r"""
     with recursive d as (

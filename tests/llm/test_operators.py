@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import zlib
 from math import comb
@@ -23,6 +24,7 @@ from citeweave.llm import (
     neighbours,
     packing,
     quality_rules,
+    queries,
     substring,
     toxicity,
 )
@@ -227,13 +229,51 @@ def test_substring_dedup(spark, docs, nothing):
     assert substring.remove_repeats(spark, nothing).count() == 0
 
 
-def test_longer_repeats_double_until_none_is_left(spark):
-    text = " ".join(f"w{i}" for i in range(130))
-    table = spark.createDataFrame([(1, text), (2, "x " + text), (3, "y z")], "doc_id long, text string")
-    starts = [(1, list(range(81))), (2, list(range(1, 82)))]
-    found = spark.createDataFrame(starts, "doc_id long, starts array<int>")
-    got = [tuple(r) for r in substring.extend(spark, table, found, 50).collect()]
-    assert got == [(50, 162, 2), (100, 62, 2)]
+def brute_passages(rows, length=50):
+    """n_words, n_removed, kept and longest repeat of every (id, text), ids null or not."""
+    split = [(i, words_of(t)) for i, t in rows]
+    first, classes = {}, {}
+    for i, w in split:
+        if i is not None:
+            classes[tuple(w)] = min(i, classes.get(tuple(w), i))
+            for s in range(len(w) - length + 1):
+                run = tuple(w[s : s + length])
+                first[run] = min(i, first.get(run, i))
+    longest, size = dict.fromkeys(classes, 0), length
+    while True:
+        holders = collections.defaultdict(set)
+        for w, i in classes.items():
+            for s in range(len(w) - size + 1):
+                holders[w[s : s + size]].add(i)
+        found = {w for run, ids in holders.items() if len(ids) > 1 for w in classes if len(w) >= size
+                 and any(w[s : s + size] == run for s in range(len(w) - size + 1))}
+        if not found:
+            break
+        longest.update(dict.fromkeys(found, size))
+        size *= 2
+    out = []
+    for i, w in split:
+        gone = set()
+        for s in range(len(w) - length + 1):
+            if i is not None and first[tuple(w[s : s + length])] < i:
+                gone.update(range(s, s + length))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        most = longest[tuple(w)] if i is not None else 0
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), most))
+    return sorted(out, key=repr)
+
+
+def test_substring_dedup_of_repeated_and_null_ids(spark):
+    r = random.Random(8)
+    passage, long = _sentence(r, 60), _sentence(r, 130)
+    rows = [(1, "a " + long), (2, "x " + long + " y"), (3, long), (3, long), (3, _sentence(r, 500) + " " + passage)]
+    rows += [(3, "short"), (None, long), (None, passage), (None, None), (4, passage + " q"), (4, passage + " q")]
+    rows += [(4, passage + "  q"), (9, None), (0, "z " + passage), (7, ""), (5, "a " + long), (2, _sentence(r, 70))]
+    table = spark.createDataFrame([(*x, 1, "k") for x in rows], "doc_id long, text string, high int, key string")
+    found = substring.digests(substring.remove_repeats(spark, table.repartition(4)))
+    got = sorted((tuple(x) for x in found.collect()), key=repr)
+    want = brute_passages(rows)
+    assert got == want and {x[4] for x in want} == {0, 50, 100} and sum(x[2] > 0 for x in want) >= 7
 
 
 def test_jaccard(spark, docs, nothing):
@@ -326,6 +366,26 @@ def test_classifiers_on_held_out_rows(spark, docs, nothing, label):
     assert score(nothing, labels).count() == 0
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_neighbours_recall_of_the_query(spark, folder):
+    """The registered search against exact distances, on the tables' own vectors."""
+    path = f"/root/testdata/{folder}"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables here")
+    found = collections.defaultdict(set)
+    for x in queries.op9_neighbours(spark, path).collect():
+        found[x["query_id"]].add(x["vec_id"])
+    table = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect()
+    table = [(r[0], r[1]) for r in table if r[1] and any(r[1]) and np.isfinite(r[1]).all()]
+    ids, vectors = np.array([i for i, _ in table]), np.array([v for _, v in table], float)
+    hits = total = 0
+    for query in found:
+        gap = np.sqrt(((vectors - vectors[ids == query][0]) ** 2).sum(axis=1))
+        best = [i for i in ids[np.lexsort((ids, gap))] if i != query][:10]
+        hits, total = hits + len(found[query] & set(best)), total + len(best)
+    assert set(found) == {i for i in ids if i % 100 == 0} and hits >= 0.9 * total
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(6)
     vectors = r.normal(size=(400, 8)).astype(np.float32)
@@ -336,7 +396,7 @@ def test_neighbours(spark):
     table = spark.createDataFrame(rows + odd + rows[:1], "vec_id long, embedding array<float>")
     query = F.col("vec_id") % 10 == 0
     got = collections.defaultdict(list)
-    for x in neighbours.search_neighbours(spark, table, query, k=10, leaf=16).orderBy("rank").collect():
+    for x in neighbours.search_neighbours(spark, table, query, k=10, leaf=16, search_least=1).orderBy("rank").collect():
         got[x["query_id"]].append((x["vec_id"], x["score"]))
     assert set(got) == set(range(0, 400, 10))
     hits = 0
