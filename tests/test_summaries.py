@@ -40,7 +40,8 @@ def test_prompt_text(spark):
     assert blocks[2] == "Paper 2:\n  Title: \n  Citations: 0"
     assert blocks[3] == "Paper 3:\n  Title: third\n  Abstract: abs\n  Citations: 3"
     assert blocks[4] == C.PROMPT_INSTRUCTIONS
-    assert "Paper 2" not in dict(rows(summaries.concept_prompts(chosen(spark), 1)))["x"]
+    one = summaries.concept_prompts(chosen(spark), 1)
+    assert "Paper 2" not in dict(rows(one, "concept", "prompt"))["x"]
 
 
 def test_conversation_roles(spark):
