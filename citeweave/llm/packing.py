@@ -28,6 +28,8 @@ from citeweave.llm.common import find_words, slices, stored
 
 # Distinct chunks whose ids one Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 600_000
+# Chunks encoded in one call.
+JOINED = 150
 # Rows per chunk in which ranks are counted.
 CHUNK_ROWS = 500_000
 
@@ -35,6 +37,36 @@ _MEMORIES: dict[str, dict[str, bytes]] = {}
 _TOKENIZERS: dict = {}
 
 
+def _encode_apart(tokenizer, chunks: list[str]) -> list[bytes]:
+    encoded = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+    return [np.array(e.ids, np.uint32).tobytes() for e in encoded]
+
+
+def chunk_ids(tokenizer, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+    """Each chunk's ids as bytes.
+
+    Chunks hold no ASCII blank and no token spans one, so chunks are encoded some hundred
+    at a time, joined by blanks, and told apart by where their tokens start; a call for
+    each would take most of the time. Chunks that may hold an added token go alone.
+    """
+    added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+    alone = [c for c in chunks if any(token in c for token in added)]
+    yield from zip(alone, _encode_apart(tokenizer, alone), strict=True)
+    special = set(alone)
+    plain = [c for c in chunks if c not in special]
+    groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+    encoded = tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+    for group, one in zip(groups, encoded, strict=True):
+        ids = np.array(one.ids, np.uint32)
+        starts = np.fromiter((span[0] for span in one.offsets), np.int64, len(ids))
+        sizes = np.fromiter(map(len, group), np.int64, len(group))
+        ends = np.searchsorted(starts, np.cumsum(sizes + 1), "left") * 4
+        raw, at = ids.tobytes(), 0
+        for chunk, end in zip(group, ends.tolist(), strict=True):
+            yield chunk, raw[at:end]
+            at = end
+
+
 def _piece_maker(path: str, capacity: int, end_id: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,16 +76,15 @@ def _piece_maker(path: str, capacity: int, end_id: int, id_col: str, text_col: s
             _TOKENIZERS[path] = Tokenizer.from_file(path)
             _TOKENIZERS[path].no_truncation()
             _TOKENIZERS[path].no_padding()
-        encode, memory = _TOKENIZERS[path].encode_batch_fast, _MEMORIES.setdefault(path, {})
+        tokenizer, memory = _TOKENIZERS[path], _MEMORIES.setdefault(path, {})
         end = np.uint32(end_id).tobytes()
         for batch in slices(batches, 512):
             # No token spans an ASCII blank, so a chunk's ids don't depend on its text.
             split = [find_words(t) if t else [] for t in batch.column(text_col).to_pylist()]
             if len(memory) > REMEMBERED:
                 memory.clear()
-            new = list({chunk for chunks in split for chunk in chunks if chunk not in memory})
-            for chunk, code in zip(new, encode(new, add_special_tokens=False), strict=True):
-                memory[chunk] = np.array(code.ids, np.uint32).tobytes()
+            new = set().union(*split).difference(memory)
+            memory.update(chunk_ids(tokenizer, list(new)))
             rows, starts, sizes, sums, numbers = [], [], [], [], []
             for row, chunks in enumerate(split):
                 ids = b"".join([*map(memory.__getitem__, chunks), end])
