@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.session import scratch_dir
+from citeweave.session import drop_folder, scratch_dir
 
 # A word is a run of characters other than the ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,7 +28,15 @@ def stored(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_dir(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove tables of ``stored`` once what was made from them is written."""
+    for frame in frames:
+        drop_folder(spark, frame.stored_at)
 
 
 def word_array(text: Column) -> Column:

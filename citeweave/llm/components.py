@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import stored
+from citeweave.llm.common import dropped, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
     ``links`` has long columns ``a, b``. Large and small stars alternate until the
     edges stay the same; they are stored after every round, and only their number and
-    checksum reach the driver.
+    checksum reach the driver. A round's edges go when the next ones are written.
     """
     edges = links.where("a <> b").select(
         F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
@@ -48,8 +48,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     edges = stored(spark, edges.distinct(), "edges")
     before = _digest(edges)
     while before[0]:
-        edges = stored(spark, _small_star(_large_star(edges)), "edges")
+        last, edges = edges, stored(spark, _small_star(_large_star(edges)), "edges")
         after = _digest(edges)
+        dropped(spark, last)
         if after == before:
             break
         before = after
@@ -147,3 +148,96 @@ def _linked_more(
         return found
     stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     return components(spark, stars.union(more.select("a", "b")))
+
+
+def counted_components(
+    spark: SparkSession,
+    rows: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    near: Callable[[Column, Column], Column],
+    needed: Callable[[Column], Column],
+) -> DataFrame:
+    """Components of the graph whose links are verified pairs that share enough keys.
+
+    ``rows`` has long columns ``key, id, value``, a value being the id's. Two ids that are
+    linked are ``near`` by their values and share as many keys at least as the smaller of
+    their ``needed`` says; ``verify`` takes pairs ``a, b`` and returns (stored) links.
+
+    Counts of shared keys are accumulated per pair before anything is verified, and pairs
+    below their bound are dropped. A group of m rows with one key does not make m² pairs:
+    an id meets its keys' pivots (the smallest id of a key) first, the one it shares most
+    keys with before the others. Then only rows of keys whose rows are still in different
+    components meet, in full, and their counts decide, so no link between components is
+    missed; links inside one are not needed.
+    """
+    dealt = rows.repartition("key")
+    pivot = F.min(F.struct("id", "value"))
+    ends = dealt.groupBy("key").agg(pivot.alias("p"), F.max("id").alias("top"))
+    ends = ends.where("p.id < top").select(
+        "key", F.col("p.id").alias("pivot"), F.col("p.value").alias("pivot_value")
+    )
+    shared = stored(spark, dealt.join(ends, "key"), "shared")
+
+    bound = F.least(needed(F.col("value")), needed(F.col("pivot_value")))
+    met = shared.where("id <> pivot").where(near(F.col("value"), F.col("pivot_value")))
+    met = met.groupBy("id", "pivot").agg(
+        F.count(F.lit(1)).alias("n"), F.min(bound).alias("bound")
+    )
+    met = stored(spark, met.where("n >= bound").select("id", "pivot", "n"), "met")
+    ends_of = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
+    best = F.max_by("pivot", F.struct("n", F.bitwise_not("pivot"))).alias("pivot")
+    one = stored(spark, met.groupBy("id").agg(best).select(*ends_of).distinct(), "first")
+    found = _joined(spark, None, verify(one))
+    rest = _apart(met.select(*ends_of).distinct().join(one, ["a", "b"], "left_anti"), found)
+    found = _verified_more(spark, found, rest, verify)
+    dropped(spark, met, one)
+
+    own = shared.select("key", "id", "value").join(found, "id", "left")
+    own = own.withColumn("component", F.coalesce("component", "id"))
+    both = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"))
+    own = stored(spark, own.join(both.where("low < top").select("key"), "key"), "apart")
+    dropped(spark, shared)
+    left, right = (
+        own.select(
+            "key",
+            F.col("id").alias(x),
+            F.col("component").alias(f"component_{x}"),
+            F.col("value").alias(f"value_{x}"),
+        )
+        for x in "ab"
+    )
+    meeting = left.join(right, "key").where("component_a < component_b")
+    meeting = meeting.where(near(F.col("value_a"), F.col("value_b")))
+    bound = F.least(needed(F.col("value_a")), needed(F.col("value_b")))
+    meeting = meeting.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.min(bound).alias("bound")
+    )
+    meeting = meeting.where("n >= bound").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    )
+    found = _verified_more(spark, found, meeting.distinct(), verify)
+    dropped(spark, own)
+    return found
+
+
+def _joined(spark: SparkSession, found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components with those of more (stored) links; these go then."""
+    pairs = links.select("a", "b")
+    if found is not None:
+        pairs = pairs.union(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    out = components(spark, pairs)
+    dropped(spark, links)
+    return out
+
+
+def _verified_more(
+    spark: SparkSession,
+    found: DataFrame,
+    pairs: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    pairs = stored(spark, pairs, "pairs")
+    if not pairs.isEmpty():
+        found = _joined(spark, found, verify(pairs))
+    dropped(spark, pairs)
+    return found

@@ -1,23 +1,25 @@
 """Documents joined by the Jaccard similarity of their word n-grams.
 
-The documents-by-n-grams incidence matrix is multiplied with its transpose in blocks.
-Sizes bound the work twice: two sets of a given similarity share an n-gram among the
-first |x| - ceil(t |x|) + 1 of either set in any one order of all n-grams, so only those
-columns tell which pairs can meet. Pairs whose sizes differ too much are discarded, and
-those of which one set has too little left from the common column on to be linked.
-What remains is dealt into blocks; each block holds its rows' incidence in sparse form
-and accumulates the overlap counts of its pairs.
+The documents-by-n-grams incidence matrix is multiplied with its transpose in blocks of
+columns and of rows. Sizes bound the work: with all n-grams in one order, two sets of a
+given similarity share at least s of the first |x| - ceil(t |x|) + s of either set. So the
+product is first formed over those columns alone (s grows with the set, one for each 40 of
+its n-grams), overlap counts are accumulated per pair, and pairs whose sizes differ too
+much or whose count stays below their bound are discarded. What remains is dealt into
+blocks of rows; each block holds its rows' incidence in sparse form and accumulates the
+whole overlap of its pairs.
 
 The order puts n-grams that a fixed-size counting sketch of all documents finds frequent
 last, so passages that very many documents share seldom make pairs. Documents with equal
 sets are one row of the matrix (named by a 64-bit hash of the set); the rows of one
-column meet as described at ``linked_components``, without all pairs of a group. The
+column meet as described at ``counted_components``, without all pairs of a group. The
 result is exact but for collisions of 64-bit hashes.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing.
 Fewer words than an n-gram make one n-gram of all of them. Rows with equal ids are
-equal documents' rows or not, each is judged by its text; rows with a null id are left
-out. Other columns are not looked at. Texts may be of any length.
+equal documents' rows or not, each is judged by its text. Rows with a null id are returned
+with their size, a null class and a null component; they are linked with nothing. Other
+columns are not looked at. Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -30,12 +32,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import as_long, find_words, slices, stored, window_hashes, word_hashes
-from citeweave.llm.components import linked_components
+from citeweave.llm.common import (
+    as_long,
+    dropped,
+    find_words,
+    slices,
+    stored,
+    window_hashes,
+    word_hashes,
+)
+from citeweave.llm.components import counted_components
+from citeweave.operators.semifilter import mark_possible
 
 SKETCH_SLICES = 64
 # Members of one row that go into one block at most.
 STAR = 256
+# A set must share one n-gram more of its first ones for each so many that it has.
+GRAMS_PER_SHARED = 40
 # N-grams per block, about.
 BLOCK_GRAMS = 1_500_000
 
@@ -107,15 +120,18 @@ def _prefixes(words: int, percent: int, shared):
                 names.append(set_name(grams) if n else None)
                 rank = ranks[(grams % np.uint64(len(ranks))).view(np.int64)]
                 order = np.argsort(rank, kind="stable")  # equal ranks by the hash
-                first.append(as_long(grams[order[: n - -(-percent * n // 100) + 1]]))
+                least = -(-percent * n // 100)
+                most = n - least + min(least, 1 + n // GRAMS_PER_SHARED)
+                first.append(as_long(grams[order[:most]]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array(sizes, pa.int64()),
                     pa.array(names, pa.int64()),
                     pa.array(first, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "class", "first"],
+                names=["doc_id", "text_key", "n_shingles", "class", "first"],
             )
 
     return run
@@ -167,13 +183,10 @@ def _may_link(size: Column, other: Column, percent: int) -> Column:
     return 100 * F.least(size, other) >= percent * F.greatest(size, other)
 
 
-def _may_start(one: Column, two: Column, percent: int) -> Column:
-    """Whether two linked sets can have their first common n-gram at these places.
-
-    All that they share then lies in what is left of either set from there on.
-    """
-    least = F.least(one["left"], two["left"])
-    return (100 + percent) * least >= percent * (one["size"] + two["size"])
+def _needed(size: Column, percent: int) -> Column:
+    """How many of its first n-grams a set shares with any set linked to it."""
+    least = F.ceil(size * percent / 100)
+    return F.least(least, 1 + F.floor(size / GRAMS_PER_SHARED))
 
 
 def _verifier(texts: DataFrame, classes: DataFrame, words: int, percent: int):
@@ -193,14 +206,17 @@ def _verifier(texts: DataFrame, classes: DataFrame, words: int, percent: int):
         )
         dealt = stored(spark, dealt, "dealt")
         needed = dealt.select("block", F.col("a").alias("class")).union(dealt.select("block", "b"))
-        needed = needed.distinct().join(classes.select("class", "doc_id"), "class")
+        needed = needed.distinct().join(classes.select("class", "doc_id", "text_key"), "class")
         needed = stored(spark, needed, "needed")
-        held = needed.join(texts, "doc_id").select("block", "class", "text")
-        return (
+        held = needed.join(texts, ["doc_id", "text_key"]).select("block", "class", "text")
+        links = (
             dealt.groupBy("block")
             .cogroup(held.groupBy("block"))
             .applyInArrow(_product(words, percent), "a long, b long")
         )
+        links = stored(spark, links, "links")
+        dropped(spark, sized, dealt, needed)
+        return links
 
     return verify
 
@@ -214,57 +230,66 @@ def similar_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, n_shingles, class, component_id`` of every document.
+    """``doc_id, text_key, n_shingles, class, component_id`` of every document.
 
-    ``class`` is equal for equal sets; ``component_id`` is the smallest id that links
+    ``text_key`` is the text's ``xxhash64``. ``class`` is equal for equal sets; ``component_id`` is the smallest id that links
     (similarity of ``percent`` or more) reach. Only components are given: pairs inside one
     are not all verified, so links are neither listed nor counted. The sketch takes eight bytes a cell on the
     driver and in each Python worker; more cells tell frequent n-grams of larger inputs.
     """
-    texts = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).alias("text"),
+        F.xxhash64(text_col).alias("text_key"),
     )
+    texts = rows.where("doc_id is not null")
     counts = gram_sketch(texts, words, sketch_cells)
     usual = max(1, 3 * int(counts.mean()))
     ranks = spark.sparkContext.broadcast((counts // usual).astype(np.int32))
-    sets = texts.mapInArrow(
+    sets = rows.mapInArrow(
         _prefixes(words, percent, ranks),
-        "doc_id long, n_shingles long, class long, first array<bigint>",
+        "doc_id long, text_key long, n_shingles long, class long, first array<bigint>",
     )
-    sets = stored(spark, sets, "sets")
-    classes = sets.where("n_shingles > 0").groupBy("class")
-    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    sets = stored(spark, sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+    full = sets.where("n_shingles > 0 and doc_id is not null")
+    classes = full.groupBy("class").agg(
+        F.min(F.struct("doc_id", "text_key", "row")).alias("s"),
+        F.min("n_shingles").alias("n_shingles"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+    classes = classes.select("class", "s.doc_id", "s.text_key", "s.row", "n_shingles", "n_rows")
     classes = stored(spark, classes, "classes")
 
-    firsts = sets.join(classes.select("doc_id", "class"), ["doc_id", "class"], "left_semi")
-    rows = firsts.select(
-        F.posexplode("first").alias("at", "key"), F.col("class").alias("id"), "n_shingles"
+    # One row of each class; those that are alone in their class are not moved.
+    several = classes.where("n_rows > 1")
+    marked = mark_possible(full, F.col("class"), several, F.col("class"), "_several")
+    alone = marked.where(~F.col("_several")).select("class", "n_shingles", "first")
+    chosen = marked.where("_several").join(classes.select("row"), "row", "left_semi")
+    firsts = alone.unionByName(chosen.select("class", "n_shingles", "first"))
+    keys = firsts.select(
+        F.explode("first").alias("key"), F.col("class").alias("id"), F.col("n_shingles").alias("value")
     )
-    left = F.col("n_shingles") - F.col("at")
-    value = F.struct(F.col("n_shingles").alias("size"), left.alias("left")).alias("value")
-    rows = rows.select("key", "id", value)
+    # Never null: else joins filter one use of the keys, and they are shuffled twice.
+    keys = keys.select(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in keys.columns])
     verify = _verifier(texts, classes, words, percent)
-    found = linked_components(
+    found = counted_components(
         spark,
-        rows,
+        keys,
         verify,
-        lambda a, b: _may_start(a, b, percent),
-        # The set whose common n-grams come first differs least from the others.
-        centre=lambda value: value["left"] / value["size"],
+        lambda a, b: _may_link(a, b, percent),
+        lambda size: _needed(size, percent),
     )
+    narrow = stored(spark, sets.drop("first", "row"), "sizes")
+    dropped(spark, sets)
 
     grouped = classes.join(found.withColumnRenamed("id", "class"), "class", "left").select(
         "class", "doc_id", F.coalesce("component", "class").alias("component")
     )
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stored(spark, grouped.join(least, "component").select("class", "component_id"), "named")
-    return (
-        sets.drop("first")
-        .join(named, "class", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            "class",
-            F.coalesce("component_id", "doc_id").alias("component_id"),
-        )
+    able = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    columns = ["doc_id", "text_key", "n_shingles", "class", "component_id"]
+    alone = narrow.where(~able).withColumns(
+        {"class": F.lit(None).cast("long"), "component_id": F.col("doc_id")}
     )
+    return narrow.where(able).join(named, "class").select(*columns).unionByName(alone.select(*columns))

@@ -19,7 +19,6 @@ from citeweave.llm import (
     components,
     jaccard,
     licences,
-    line_dedup,
     nbsvm,
     neighbours,
     packing,
@@ -152,66 +151,6 @@ def test_configurations_serve_the_demand():
         assert (sum(pattern * times for pattern, times in plan) == np.array(demand)).all()
 
 
-def _line_brute(spark, table):
-    counts = line_dedup.pair_counts(table)
-    sims = {r["h"]: r["sim"] for r in line_dedup.simhashes(counts).collect()}
-    hashes = {(r["doc_id"], r["line_no"]): r["h"] for r in counts.collect()}
-    words = {}
-    for (doc, number), h in hashes.items():
-        raw = TEXTS[doc].split("\n")[number].lower()
-        words[h] = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in raw).split()
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    parent = {h: h for h in words}
-
-    def root(h):
-        while parent[h] != h:
-            h = parent[h]
-        return h
-
-    for a, b in itertools.combinations(words, 2):
-        if bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") <= 3:
-            longest = max(len(words[a]), len(words[b]))
-            if 100 * (longest - edits(words[a], words[b])) >= 80 * longest:
-                parent[root(a)] = root(b)
-    first, lost = {}, collections.defaultdict(set)
-    for place in sorted(hashes):
-        group = root(hashes[place])
-        if first.setdefault(group, place) != place:
-            lost[place[0]].add(place[1])
-    return lost
-
-
-def test_line_dedup(spark, docs, nothing):
-    lost = _line_brute(spark, docs)
-    got = {r["doc_id"]: set(r["lines"]) for r in line_dedup.repeated_lines(spark, docs).collect()}
-    assert got == lost and sum(map(len, lost.values())) >= 12
-    kept = line_dedup.drop_repeated_lines(spark, docs)
-    assert set(docs.columns) <= set(kept.columns)
-    for row in kept.collect():
-        text, gone = TEXTS[row["doc_id"]], lost.get(row["doc_id"], ())
-        want = text if not gone else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
-        assert row["text"] == want and row["n_removed"] == len(gone)
-    assert line_dedup.drop_repeated_lines(spark, nothing).count() == 0
-
-
-def test_block_masks_meet_all_close_pairs():
-    masks, r = line_dedup.block_masks(6, 3), random.Random(1)
-    for _ in range(300):
-        a = r.getrandbits(64)
-        b = a
-        for bit in r.sample(range(64), 3):
-            b ^= 1 << bit
-        assert any((a ^ b) & m & (2**64 - 1) == 0 for m in masks)
-
-
 def test_substring_dedup(spark, docs, nothing):
     got = {r["doc_id"]: r for r in substring.digests(substring.remove_repeats(spark, docs)).collect()}
     first, split = {}, {i: words_of(t) for i, t in enumerate(TEXTS)}
@@ -276,30 +215,58 @@ def test_substring_dedup_of_repeated_and_null_ids(spark):
     assert got == want and {x[4] for x in want} == {0, 50, 100} and sum(x[2] > 0 for x in want) >= 7
 
 
-def test_jaccard(spark, docs, nothing):
+def brute_components(rows):
+    """Size and component of (id, text) rows; rows without an id are linked with nothing."""
+
     def grams(text):
         w = words_of((text or "").encode().lower().decode())
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
-    sets = [grams(t) for t in TEXTS]
-    parent = list(range(len(TEXTS)))
+    sets = [grams(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i, j in itertools.combinations(range(len(TEXTS)), 2):
+    for i, j in itertools.combinations(range(len(rows)), 2):
         both = len(sets[i] & sets[j])
-        if both and 100 * both >= 80 * len(sets[i] | sets[j]):
-            a, b = root(i), root(j)
-            parent[max(a, b)] = min(a, b)
-    got = {r["doc_id"]: r for r in jaccard.similar_documents(spark, docs).collect()}
-    for i in range(len(TEXTS)):
-        assert (got[i]["n_shingles"], got[i]["component_id"]) == (len(sets[i]), root(i))
+        if None not in (rows[i][0], rows[j][0]) and both:
+            if 100 * both >= 80 * len(sets[i] | sets[j]):
+                parent[root(j)] = root(i)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[root(i)] = min(doc_id, least.get(root(i), doc_id))
+    out = [(d, len(sets[i]), least.get(root(i)) if d is not None else None) for i, (d, _) in enumerate(rows)]
+    return sorted(out, key=repr)
+
+
+def test_jaccard(spark, docs, nothing):
+    found = jaccard.similar_documents(spark, docs).drop("class", "text_key")
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute_components(list(enumerate(TEXTS)))
     assert jaccard.similar_documents(spark, nothing).count() == 0
 
 
+def test_jaccard_of_families(spark):
+    """Families whose members drift apart, repeated and null ids, sizes at the limit."""
+    r, rows = random.Random(12), []
+    for family in range(12):
+        words = [f"w{r.randint(0, 300)}" for _ in range(r.choice([6, 12, 25, 60, 200]))]
+        for _ in range(r.randint(1, 9)):
+            rows.append((r.choice([None, len(rows), len(rows), family]), " ".join(words)))
+            for _ in range(r.choice([0, 1, 1, 2])):
+                words[r.randrange(len(words))] = f"x{r.randint(0, 300)}"
+            words = words if r.random() < 0.6 else words[: max(1, int(len(words) * 0.9))]
+    rows += [(500, rows[3][1]), (500, rows[3][1]), (None, ""), (501, " "), (502, None)]
+    table = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, class long, value long")
+    found = jaccard.similar_documents(spark, table.repartition(3)).drop("class", "text_key")
+    got = sorted((tuple(x) for x in found.collect()), key=repr)
+    want = brute_components(rows)
+    assert got == want and any(d is not None and c != d for d, _, c in want)
+
+
 def test_quality_measures():
     text = "A b A b A b c #x\nA b\n\nA b"
     words = text.split()
@@ -317,20 +284,66 @@ def test_binomial_tail_is_exact():
     assert quality_rules.chance_of_so_few(0, 0, 0.1) == 1
 
 
-def test_quality_rules_reject_only_with_evidence(spark, docs, nothing):
-    r = random.Random(8)
-    good = [_sentence(r, 80) for _ in range(1800)]
-    bad = [" ".join(w + "##" for w in _sentence(r, 80).split()) for _ in range(60)]
-    table = spark.createDataFrame(
-        [(i, t, "en") for i, t in enumerate(good + bad)], "doc_id long, text string, lang string"
-    )
-    labels = spark.createDataFrame(
-        [(i, int(i < 1800)) for i in range(1860)] + [(None, 1), (5, None)], "doc_id long, quality int"
-    )
-    got = {x["doc_id"]: x for x in quality_rules.judge(spark, table, labels).collect()}
-    assert all(got[i]["kept"] for i in range(1800)) and not any(got[i]["kept"] for i in range(1800, 1860))
-    few = labels.where("doc_id < 100 or doc_id > 1850")
-    assert quality_rules.judge(spark, table, few).where("not kept").count() == 0
+def _plain_cutoffs(rows, risk, level):
+    """Cutoff index per rule from (exceeded cutoffs, bad, holdout) of each distinct text."""
+    first, second = ([x for x in rows if x[2] == half] for half in (False, True))
+    hits = lambda over, setting: any(c and o > 8 - c for o, c in zip(over, setting, strict=True))
+    setting, last = (0,) * 6, (0,) * 6
+    while True:
+        steps = []
+        for rule in range(6):
+            for cut in range(setting[rule] + 1, 9):
+                new = tuple(cut if r == rule else c for r, c in enumerate(setting))
+                more = [bad for over, bad, _ in first if hits(over, new) and not hits(over, setting)]
+                if sum(more):
+                    steps.append((-sum(more) / (len(more) - sum(more) + 1), -sum(more), rule, cut, new))
+        if not steps:
+            return last
+        setting = min(steps)[-1]
+        good = [hits(over, setting) for over, bad, _ in second if not bad]
+        k, n = sum(good), len(good)
+        tail = sum(comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+        if tail > level:
+            return last
+        last = setting
+
+
+def test_quality_rules_equal_the_plain_search(spark, docs, nothing):
+    r, rows = random.Random(8), []
+    for i in range(1500):
+        bad = r.random() < 0.15
+        lang = r.choice(["en", "en", "de", None, ""])
+        words = _sentence(r, r.randint(60, 80)).split()
+        if r.random() < (0.8 if bad else 0.01):
+            words = [w + "#" * r.choice([1, 2]) if r.random() < 0.7 else w for w in words]
+        if r.random() < (0.3 if bad else 0.01):
+            words = [w.upper() for w in words]
+        rows.append((i, "\n".join(" ".join(words[k : k + 20]) for k in range(0, 80, 20)), lang, int(not bad)))
+    rows += [(2000 + i, t, lang, q) for i, (_, t, lang, q) in enumerate(rows[:400])]  # copies are no evidence
+    table = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(x[0], x[3]) for x in rows] + [(None, 1), (5, None)], "doc_id long, quality int")
+    measured = quality_rules.measures(table).where("not base_failed")
+    over = [quality_rules.exceeded(rule) for rule in quality_rules.RULES]
+    half = (F.pmod(F.xxhash64("text_key", F.lit("half")), F.lit(2)) == 0).alias("half")
+    quality, strata = {x[0]: x[3] for x in rows}, collections.defaultdict(dict)
+    for x in measured.select("doc_id", "stratum", "text_key", half, F.array(*over).alias("over")).collect():
+        good = quality[x["doc_id"]] or not strata[x["stratum"]].get(x["text_key"], (0, True, 0))[1]
+        strata[x["stratum"]][x["text_key"]] = (x["over"], not good, x["half"])
+    used = {x["stratum_key"]: x for x in quality_rules.cutoffs(quality_rules.measures(table), labels, 0.05).collect()}
+    on = 0
+    for name, texts in strata.items():
+        want = _plain_cutoffs(list(texts.values()), 0.05, 0.05 / len(strata))
+        got = used["-" if name is None else "=" + name]
+        for used_cut, (rule, (_, cuts)) in zip(want, quality_rules.RULES.items(), strict=True):
+            assert got[f"cut_{rule}"] == (cuts[used_cut - 1] if used_cut else None)
+        on += sum(want) > 0
+    assert len(used) == 4 and on >= 2
+    judged = quality_rules.judge(spark, table, labels, 0.05)
+    lost = judged.where("not kept and not base_failed").join(labels, "doc_id").groupBy("quality").count()
+    lost = {x["quality"]: x["count"] for x in lost.collect()}
+    assert lost[0] > 100 and lost.get(1, 0) < 0.05 * 1600
+    few = labels.where("doc_id < 40")
+    assert quality_rules.judge(spark, table, few).where("not kept and not base_failed").count() == 0
     assert quality_rules.judge(spark, docs, labels.limit(0)).count() == len(TEXTS)
     assert quality_rules.judge(spark, nothing, labels).count() == 0
 
