@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions.text import ALNUM, strip
+from citeweave.operators.semifilter import may_match
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -40,22 +41,44 @@ def mark_runs(text: Column) -> Column:
     return F.regexp_replace(text, f"({ALNUM}+)", "\u0001$1\u0002")
 
 
-def prepare_dictionary(dictionary: DataFrame) -> DataFrame:
-    """Per concept, trimmed and in lower case: its anchor and how a meeting is checked.
-
-    The anchor is the run that fewest concepts of the dictionary have, which
-    keeps the number of concepts per anchor low. Concepts without any run get
-    the empty anchor.
-    """
+def dictionary_runs(dictionary: DataFrame) -> DataFrame:
+    """``concept, run``: every run of every concept; null for a concept without any."""
     concepts = normalise_dictionary(dictionary, "concept")
-    runs = concepts.select(
+    return concepts.select(
         "concept", F.explode_outer(F.array_distinct(runs_of(F.col("concept")))).alias("run")
     )
+
+
+def run_counts(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """``run, n_texts``: in how many texts (column ``_low``) a run of the dictionary stands.
+
+    A bitmap of the dictionary's runs drops all others where the texts are read; the rest
+    are counted per task before they are shuffled.
+    """
+    wanted = runs.where(F.col("run").isNotNull()).select("run").distinct()
+    each = texts.select(F.explode(F.array_distinct(runs_of(F.col("_low")))).alias("run"))
+    each = may_match(each, F.col("run"), wanted, F.col("run"))
+    counts = each.groupBy("run").agg(F.count(F.lit(1)).alias("n_texts"))
+    return counts.join(wanted, "run", "left_semi")
+
+
+def prepare_dictionary(dictionary: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Per concept, trimmed and in lower case: its anchor and how a meeting is checked.
+
+    With ``counts`` (see ``run_counts``) the anchor is the run that fewest texts have, so a
+    concept meets few texts in vain. Without, it is the run that fewest concepts of the
+    dictionary have, which keeps the number of concepts per anchor low. Concepts without
+    any run get the empty anchor.
+    """
+    runs = dictionary_runs(dictionary)
     shared = runs.groupBy("run").agg(F.count(F.lit(1)).alias("_shared"))
-    rarest = F.min_by("run", F.struct("_shared", -F.length("run"), "run"))
-    anchors = (
-        runs.join(shared, "run", "left").groupBy("concept").agg(rarest.alias("anchor"))
-    )
+    ranked = runs.join(shared, "run", "left")
+    if counts is None:
+        ranked = ranked.withColumn("n_texts", F.lit(0))
+    else:
+        ranked = ranked.join(counts, "run", "left")
+    place = F.struct(F.coalesce("n_texts", F.lit(0)), "_shared", -F.length("run"), "run")
+    anchors = ranked.groupBy("concept").agg(F.min_by("run", place).alias("anchor"))
     concept = F.col("concept")
     check = (
         F.when(concept.rlike(rf"^{ALNUM}+\z"), WHOLE_RUN)
@@ -82,25 +105,31 @@ def match_concepts(
 
     The dictionary's size is measured. Up to ``broadcast_bytes`` it is broadcast
     and each text is read, cut into runs, met and checked in one pass without a
-    shuffle. A larger one is joined by shuffling (key, run) pairs, and only
-    meetings that need a check are joined with their text again.
+    shuffle. For a larger one anchors are chosen by their frequency in the texts;
+    (key, run) pairs whose run may be an anchor, by a bitmap, are shuffled, and only
+    meetings that need a check are joined with their text again. A frequent anchor's
+    rows are one side's only, which Spark splits among tasks. The empty run meets
+    texts only if a concept has no other.
     """
     keys = list(keys)
-    prepared = prepare_dictionary(dictionary)
     low = F.lower(F.col(text))
     words = texts.where(F.col(text).isNotNull()).select(
         *keys, low.alias("_low"), mark_runs(low).alias("_marked")
     )
     # Exploding the expression itself, not a column of it: on a column Spark infers
     # a not-empty filter, pushes it to the scan and cuts every text up three times.
-    run = F.explode(_meeting_runs(F.col("_low"))).alias("_run")
-    if dictionary_bytes(dictionary) <= broadcast_bytes:
+    size, bare = _measured(dictionary)
+    run = F.explode(_meeting_runs(F.col("_low"), bare)).alias("_run")
+    if size <= broadcast_bytes:
+        prepared = prepare_dictionary(dictionary)
         met = words.select(*keys, "_low", "_marked", run).join(
             F.broadcast(prepared), F.col("_run") == F.col("anchor")
         )
         return met.where(_holds()).select(*keys, "concept")
 
-    met = words.select(*keys, run).join(prepared, F.col("_run") == F.col("anchor"))
+    prepared = prepare_dictionary(dictionary, run_counts(words, dictionary_runs(dictionary)))
+    placed = may_match(words.select(*keys, run), F.col("_run"), prepared, F.col("anchor"))
+    met = placed.join(prepared, F.col("_run") == F.col("anchor"))
     certain = met.where(F.col("check") == WHOLE_RUN).select(*keys, "concept")
     unsure = met.where(F.col("check") != WHOLE_RUN).drop("_run", "anchor")
     checked = unsure.join(words, keys).where(_holds()).select(*keys, "concept")
@@ -117,15 +146,19 @@ def matched_arrays(hits: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
     ).withColumn("num_matched_concepts", F.size("matched_concepts"))
 
 
-def dictionary_bytes(dictionary: DataFrame) -> int:
-    """Upper estimate of the prepared dictionary's size in memory."""
+def _measured(dictionary: DataFrame) -> tuple[int, bool]:
+    """Upper estimate of the prepared dictionary's size in memory, and whether a concept
+    has no run."""
     per_row = F.octet_length("concept") * 4 + F.lit(128)
-    return dictionary.agg(F.sum(per_row)).first()[0] or 0
+    bare = F.count_if(~F.col("concept").rlike(ALNUM))
+    size, n_bare = dictionary.agg(F.sum(per_row), bare).first()
+    return size or 0, bool(n_bare)
 
 
-def _meeting_runs(low: Column) -> Column:
+def _meeting_runs(low: Column, bare: bool) -> Column:
     # The empty run lets concepts made of punctuation only meet every text.
-    return F.array_distinct(F.concat(runs_of(low), F.array(F.lit(""))))
+    runs = F.concat(runs_of(low), F.array(F.lit(""))) if bare else runs_of(low)
+    return F.array_distinct(runs)
 
 
 def _holds() -> Column:

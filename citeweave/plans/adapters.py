@@ -69,8 +69,15 @@ class Tables:
 
     def phrase_dictionary(self) -> DataFrame:
         """Every two neighbouring words of the benchmark texts."""
+        return self._neighbours(self["benchmark"].select("text"))
+
+    def title_dictionary(self) -> DataFrame:
+        """Every two neighbouring words of the documents' first lines: grows with them."""
+        return self._neighbours(self.documents().select(_first_line().alias("text")))
+
+    def _neighbours(self, texts: DataFrame) -> DataFrame:
         words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-        lists = self["benchmark"].select(words.alias("words"))
+        lists = texts.select(words.alias("words"))
         following = F.slice("words", 2, F.size("words"))
         pairs = F.zip_with("words", following, lambda a, b: F.concat_ws(" ", a, b))
         pairs = F.slice(pairs, 1, F.greatest(F.size("words") - 1, F.lit(0)))

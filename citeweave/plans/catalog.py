@@ -239,6 +239,17 @@ def concept_match_phrases(t):
     return matching.match_concepts(A.document_texts(t), t.phrase_dictionary())
 
 
+@query
+def concept_match_large(t):
+    """Tens of thousands of concepts, broadcast."""
+    return matching.match_concepts(A.document_texts(t), t.title_dictionary())
+
+
+@query
+def concept_match_large_shuffled(t):
+    return matching.match_concepts(A.document_texts(t), t.title_dictionary(), broadcast_bytes=0)
+
+
 def _shown(papers: DataFrame) -> DataFrame:
     return papers.select(
         "id",

@@ -65,7 +65,7 @@ _LITERALS = ", ".join("('" + c + "')" for c in DICTIONARY)
 FIXED_DICTIONARY = f"dictionary AS (SELECT * FROM (VALUES {_LITERALS}) v(concept))"
 # Word pairs are sought among the ends of parts that one blank divides.
 PHRASE_MATCHES = """, runs AS (
-  SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark
+  SELECT regexp_extract_all(lower(SOURCE_TEXT), '[\\p{L}\\p{N}]+') AS w FROM SOURCE_TABLE
 ),
 dictionary AS (
   SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
@@ -84,6 +84,11 @@ pairs AS (
 SELECT id, concept FROM pairs JOIN dictionary USING (concept)"""
 
 
+def _phrases(text: str, table: str) -> str:
+    sought = PHRASE_MATCHES.replace("SOURCE_TEXT", text).replace("SOURCE_TABLE", table)
+    return f"{DOCUMENTS}{sought}"
+
+
 def _matches(text: str) -> str:
     """Whole-word containment. Run edges are marked in text and concept; a concept
     with another character at an end is searched with its neighbours instead."""
@@ -369,7 +374,9 @@ SELECT shard, count(*) AS n_pairs FROM ({_pairs('shard, ')}) GROUP BY shard""",
         "abstract_rebuild": f"{DOCUMENTS} SELECT id, words AS abstract FROM docs",
         "concept_match": match_fixed,
         "concept_match_shuffled": match_fixed,
-        "concept_match_phrases": f"{DOCUMENTS}{PHRASE_MATCHES}",
+        "concept_match_phrases": _phrases("text", "benchmark"),
+        "concept_match_large": _phrases("title", "docs"),
+        "concept_match_large_shuffled": _phrases("title", "docs"),
         "works_to_papers": _papers_of_works(),
         "works_stream_ingest": _papers_of_works(),
         "works_scan": f"""{DOCUMENTS}
