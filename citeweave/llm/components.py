@@ -57,74 +57,6 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
 
 
-def linked_components(
-    spark: SparkSession,
-    rows: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    close: Callable[[Column, Column], Column],
-    values: DataFrame | None = None,
-    centre: Callable[[Column], Column] | None = None,
-) -> DataFrame:
-    """Components of the graph whose links are the verified pairs with a common key.
-
-    ``rows`` has long columns ``key, id``; ``verify`` takes pairs ``a, b`` and returns
-    those that are links. ``close`` tells of two rows of a key by their values alone that
-    they may be a link; it may deny a link at some of the keys that two ids share, not at
-    all of them. ``value`` is a column of ``rows`` or stands in ``values`` (``id, value``).
-    A group of m rows with one key does not make m² pairs: every key has a pivot, its
-    smallest id or, of rows with values, that with the greatest ``centre``; every id first
-    meets one of its keys' pivots, then those that are still in another component. Only rows of one key that are
-    then still apart meet each other, so no link between components is missed, and links
-    inside one are not needed.
-    """
-    dealt = rows.repartition("key")
-    if centre is None:
-        pivot = F.min("id").alias("pivot")
-    else:
-        order = F.struct(centre(F.col("value")), F.bitwise_not("id"))
-        pivot = F.max_by(F.struct("id", "value"), order).alias("p")
-    ends = dealt.groupBy("key").agg(pivot, F.min("id").alias("low"), F.max("id").alias("top"))
-    ends = ends.where("low < top").drop("low", "top")
-    if centre is not None:
-        ends = ends.select(
-            "key", F.col("p.id").alias("pivot"), F.col("p.value").alias("pivot_value")
-        )
-    shared = stored(spark, dealt.join(ends, "key").where("id <> pivot"), "shared")
-
-    met, best = shared, F.min("pivot")
-    if centre is not None:
-        met = shared.where(close(F.col("value"), F.col("pivot_value")))
-        best = F.max_by("pivot", F.struct(centre(F.col("pivot_value")), F.bitwise_not("pivot")))
-    ends_of = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
-    one = met.groupBy("id").agg(best.alias("pivot")).select(*ends_of).distinct()
-    one = stored(spark, one, "first")
-    found = components(spark, verify(one))
-
-    pivots = met.select(*ends_of).distinct()
-    rest = _apart(pivots.join(one, ["a", "b"], "left_anti"), found)
-    found = _linked_more(spark, found, rest, verify)
-
-    own = shared.drop("pivot", "pivot_value").join(found, "id", "left")
-    own = own.withColumn("component", F.coalesce("component", "id"))
-    ends = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"))
-    own = own.join(ends.where("low < top").select("key"), "key").distinct()
-    own = own if values is None else own.join(values, "id")
-    own = stored(spark, own, "apart")
-    left, right = (
-        own.select(
-            "key",
-            F.col("id").alias(x),
-            F.col("component").alias(f"component_{x}"),
-            F.col("value").alias(f"value_{x}"),
-        )
-        for x in "ab"
-    )
-    may_link = close(F.col("value_a"), F.col("value_b"))
-    meeting = left.join(right, "key").where(F.expr("component_a < component_b") & may_link)
-    meeting = meeting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return _linked_more(spark, found, meeting.distinct(), verify)
-
-
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs whose ids are in different components so far."""
     one = found.select(F.col("id").alias("a"), F.col("component").alias("_a"))
@@ -133,23 +65,6 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def _linked_more(
-    spark: SparkSession,
-    found: DataFrame,
-    pairs: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """The components after those of the pairs that are links join them."""
-    pairs = stored(spark, pairs, "pairs")
-    if pairs.isEmpty():
-        return found
-    more = stored(spark, verify(pairs), "links")
-    if more.isEmpty():
-        return found
-    stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return components(spark, stars.union(more.select("a", "b")))
-
-
 def counted_components(
     spark: SparkSession,
     rows: DataFrame,
