@@ -2,9 +2,10 @@
 
 Lexicons of words and patterns of word beginnings are gathered from labelled rows that may
 be learnt from and dealt into many voters, each of which votes toxic or abstains; others
-vote clean or abstain. A generative model estimates by expectation maximisation how
-often each voter votes under either label and, from what the votes still have in common
-given the label, how correlated voters are; correlated voters share their weight. A
+vote clean or abstain. From the votes and the share of toxic rows alone, not the labels, a
+generative model estimates by expectation maximisation how often each voter votes under
+either label and, from what the votes still have in common given the label, how correlated
+voters are; correlated voters share their weight. A
 logistic linear classifier over hashed words and beginnings is trained on its posterior
 labels and scores every text. Training reads at most ``train_rows`` labelled rows, those
 with the smallest hashes of their id.
@@ -89,21 +90,37 @@ def voters(rows: list[np.ndarray], ratios: np.ndarray, strong: float = 3.0) -> n
     return votes
 
 
+def majority(votes: np.ndarray) -> np.ndarray:
+    """Share of toxic votes among a text's votes; a half where none is cast."""
+    cast = np.maximum((votes != 0).sum(axis=1), 1)
+    return 0.5 + 0.5 * votes.sum(axis=1) / cast
+
+
+def voter_report(votes: np.ndarray, toxic: np.ndarray) -> list[tuple[float, float]]:
+    """Per voter the share of texts that it votes on, and the share of those it is right on."""
+    out = []
+    for vote in votes.T:
+        cast = vote != 0
+        right = (vote[cast] > 0) == (toxic[cast] > 0)
+        out.append((float(cast.mean()), float(right.mean()) if cast.any() else 0.0))
+    return out
+
+
 def label_model(
-    votes: np.ndarray, start: np.ndarray, rounds: int = 50
+    votes: np.ndarray, balance: float, rounds: int = 50
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of toxic per text, vote shares per label and voter, and correlations.
 
-    ``start`` is the first guess of the posterior. Every other round the correlations of
+    It sees votes and the share of toxic texts, ``balance``, not which they are; the first
+    guess is the votes' majority. Every other round the correlations of
     the votes given the label are worked out anew; a voter's evidence is divided by the sum of its
     correlations with all.
     """
-    posterior = np.clip(start, 0.02, 0.98)
+    posterior = np.clip(majority(votes), 0.02, 0.98)
     outcomes = [votes == v for v in (-1, 0, 1)]
     weight, related = np.ones(votes.shape[1]), np.eye(votes.shape[1])
     for turn in range(rounds):
         classes = np.stack([1 - posterior, posterior])
-        prior = classes.mean(axis=1)
         shares = np.stack([(classes @ o + 0.5) for o in outcomes], axis=2)
         shares /= shares.sum(axis=2, keepdims=True)
         if turn % 2 == 0:
@@ -117,7 +134,7 @@ def label_model(
         evidence = np.zeros((2, len(votes)))
         for at, outcome in enumerate(outcomes):
             evidence += (logs[:, :, at] * weight) @ outcome.T
-        odds = np.log(prior[1] / prior[0]) + evidence[1] - evidence[0]
+        odds = np.log(balance / (1 - balance)) + evidence[1] - evidence[0]
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         moved = np.abs(new - posterior).max()
         posterior = new
@@ -170,7 +187,7 @@ def fit(
     if len(set(y)) < 2:
         share = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return np.zeros(BUCKETS), float(np.log(share / (1 - share)))
-    posterior, _, _ = label_model(voters(rows, log_ratios(rows, y)), y)
+    posterior, _, _ = label_model(voters(rows, log_ratios(rows, y)), float(y.mean()))
     return logistic(rows, posterior, log_ratios(rows, posterior))
 
 

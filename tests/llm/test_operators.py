@@ -379,6 +379,32 @@ def test_classifiers_on_held_out_rows(spark, docs, nothing, label):
     assert score(nothing, labels).count() == 0
 
 
+def test_label_model_beats_the_majority():
+    """Voters of known accuracy, some of them copies of one another, and no labels."""
+    r = np.random.default_rng(3)
+    truth = r.random(4000) < 0.2
+    accuracies = [0.9, 0.85, 0.8, 0.75, 0.7, 0.65]
+    columns = []
+    for accuracy in accuracies:
+        right = r.random(4000) < accuracy
+        vote = np.where(right == truth, 1, -1)
+        columns.append(np.where(r.random(4000) < 0.8, vote, 0))
+    for _ in range(5):  # copies of the worst voter
+        columns.append(np.where(r.random(4000) < 0.95, columns[5], 0))
+    votes = np.stack(columns, 1)
+    posterior, shares, related = toxicity.label_model(votes, float(truth.mean()))
+    own = ((posterior > 0.5) == truth).mean()
+    plain = ((toxicity.majority(votes) > 0.5) == truth).mean()
+    assert own > 0.9 and own > plain + 0.05
+    # Shares of votes on toxic texts, and what copies have in common.
+    for at, accuracy in enumerate(accuracies[:3]):
+        assert shares[1, at, 2] / (shares[1, at, 2] + shares[1, at, 0]) == pytest.approx(accuracy, abs=0.1)
+    assert related[5, 6:].min() > 0.6 and abs(related[0, 1]) < 0.2
+    report = toxicity.voter_report(votes, truth)
+    assert [x for _, x in report[:6]] == pytest.approx(accuracies, abs=0.03)
+    assert [x for x, _ in report[:6]] == pytest.approx([0.8] * 6, abs=0.03)
+
+
 @pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
 def test_neighbours_recall_of_the_query(spark, folder):
     """The registered search against exact distances, on the tables' own vectors."""
