@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import dropped, stored
 
 
+# Rounds in which an id meets one pivot, before it meets all that are left.
+ROUNDS = 3
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
         edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
@@ -62,7 +67,8 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     one = found.select(F.col("id").alias("a"), F.col("component").alias("_a"))
     two = found.select(F.col("id").alias("b"), F.col("component").alias("_b"))
     labelled = pairs.join(one, "a", "left").join(two, "b", "left")
-    return labelled.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    apart = F.coalesce("_a", "a") != F.coalesce("_b", "b")
+    return labelled.where(apart).select(*pairs.columns)
 
 
 def counted_components(
@@ -70,42 +76,67 @@ def counted_components(
     rows: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     near: Callable[[Column, Column], Column],
-    needed: Callable[[Column], Column],
+    needed: Callable[[Column, Column], Column],
+    spare: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Components of the graph whose links are verified pairs that share enough keys.
 
-    ``rows`` has long columns ``key, id, value``, a value being the id's. Two ids that are
-    linked are ``near`` by their values and share as many keys at least as the smaller of
-    their ``needed`` says; ``verify`` takes pairs ``a, b`` and returns (stored) links.
+    ``rows`` has long columns ``key, id, value``, a value being the id's. ``spare`` tells by
+    its value how many of its most frequent keys an id can do without: those are dropped,
+    by the number of ids that have a key, so that the most common keys make few pairs. Two
+    ids that are linked are ``near`` by their values and share as many of the keys that are
+    left as ``needed`` says of both values; ``verify`` takes pairs ``a, b`` and returns
+    (stored) links.
 
     Counts of shared keys are accumulated per pair before anything is verified, and pairs
     below their bound are dropped. A group of m rows with one key does not make m² pairs:
-    an id meets its keys' pivots (the smallest id of a key) first, the one it shares most
-    keys with before the others. Then only rows of keys whose rows are still in different
-    components meet, in full, and their counts decide, so no link between components is
-    missed; links inside one are not needed.
+    an id meets its keys' pivots (the smallest id of a key) first, for some rounds one at a
+    time, that of most shared keys among those still in another component. Then only rows
+    of keys whose rows are still in different components meet, in full, and their counts
+    decide, so no link between components is missed; links inside one are not needed.
     """
     dealt = rows.repartition("key")
     pivot = F.min(F.struct("id", "value"))
-    ends = dealt.groupBy("key").agg(pivot.alias("p"), F.max("id").alias("top"))
+    ends = dealt.groupBy("key").agg(
+        pivot.alias("p"), F.max("id").alias("top"), F.count(F.lit(1)).alias("m")
+    )
     ends = ends.where("p.id < top").select(
-        "key", F.col("p.id").alias("pivot"), F.col("p.value").alias("pivot_value")
+        "key", F.col("p.id").alias("pivot"), F.col("p.value").alias("pivot_value"), "m"
     )
-    shared = stored(spark, dealt.join(ends, "key"), "shared")
-
-    bound = F.least(needed(F.col("value")), needed(F.col("pivot_value")))
+    shared = dealt.join(ends, "key")
+    if spare is not None:
+        frequent = W.partitionBy("id").orderBy(F.desc("m"), F.asc("key"))
+        shared = shared.withColumn("place", F.row_number().over(frequent))
+        shared = shared.where(F.col("place") > spare(F.col("value"))).drop("place")
+    shared = stored(spark, shared.drop("m"), "shared")
+
+    bound = needed(F.col("value"), F.col("pivot_value"))
     met = shared.where("id <> pivot").where(near(F.col("value"), F.col("pivot_value")))
     met = met.groupBy("id", "pivot").agg(
         F.count(F.lit(1)).alias("n"), F.min(bound).alias("bound")
     )
     met = stored(spark, met.where("n >= bound").select("id", "pivot", "n"), "met")
     ends_of = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
-    best = F.max_by("pivot", F.struct("n", F.bitwise_not("pivot"))).alias("pivot")
-    one = stored(spark, met.groupBy("id").agg(best).select(*ends_of).distinct(), "first")
-    found = _joined(spark, None, verify(one))
-    rest = _apart(met.select(*ends_of).distinct().join(one, ["a", "b"], "left_anti"), found)
-    found = _verified_more(spark, found, rest, verify)
-    dropped(spark, met, one)
+    pairs = met.groupBy(*ends_of).agg(F.max("n").alias("n"))
+    found = spark.createDataFrame([], "id long, component long")
+    for turn in range(ROUNDS + 1):
+        left = stored(spark, _apart(pairs, found), "left")
+        one = left
+        if turn < ROUNDS:
+            other = left.select(F.col("a").alias("id"), "a", "b", "n").union(
+                left.select(F.col("b").alias("id"), "a", "b", "n")
+            )
+            best = F.max(F.struct("n", F.bitwise_not("a").alias("x"), F.bitwise_not("b").alias("y")))
+            one = other.groupBy("id").agg(best.alias("p"))
+            one = one.select(F.bitwise_not("p.x").alias("a"), F.bitwise_not("p.y").alias("b")).distinct()
+        found = _verified_more(spark, found, one.select("a", "b"), verify)
+        rest = left.join(one.select("a", "b"), ["a", "b"], "left_anti")
+        rest = stored(spark, rest, "rest")
+        dropped(spark, left, met if turn == 0 else pairs)
+        pairs = rest
+        if rest.isEmpty():
+            break
+    dropped(spark, pairs)
 
     own = shared.select("key", "id", "value").join(found, "id", "left")
     own = own.withColumn("component", F.coalesce("component", "id"))
@@ -123,7 +154,7 @@ def counted_components(
     )
     meeting = left.join(right, "key").where("component_a < component_b")
     meeting = meeting.where(near(F.col("value_a"), F.col("value_b")))
-    bound = F.least(needed(F.col("value_a")), needed(F.col("value_b")))
+    bound = needed(F.col("value_a"), F.col("value_b"))
     meeting = meeting.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n"), F.min(bound).alias("bound")
     )
@@ -135,12 +166,10 @@ def counted_components(
     return found
 
 
-def _joined(spark: SparkSession, found: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined(spark: SparkSession, found: DataFrame, links: DataFrame) -> DataFrame:
     """The components with those of more (stored) links; these go then."""
-    pairs = links.select("a", "b")
-    if found is not None:
-        pairs = pairs.union(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
-    out = components(spark, pairs)
+    stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    out = components(spark, links.select("a", "b").union(stars))
     dropped(spark, links)
     return out
 

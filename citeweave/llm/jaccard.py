@@ -3,11 +3,13 @@
 The documents-by-n-grams incidence matrix is multiplied with its transpose in blocks of
 columns and of rows. Sizes bound the work: with all n-grams in one order, two sets of a
 given similarity share at least s of the first |x| - ceil(t |x|) + s of either set. So the
-product is first formed over those columns alone (s grows with the set, one for each 40 of
-its n-grams), overlap counts are accumulated per pair, and pairs whose sizes differ too
-much or whose count stays below their bound are discarded. What remains is dealt into
-blocks of rows; each block holds its rows' incidence in sparse form and accumulates the
-whole overlap of its pairs.
+product is first formed over those columns alone (s grows with the set, one for each 20 of
+its n-grams). A share of s is spared: each set drops so many of its most frequent columns,
+by the exact number of sets that have them, and as that order is one for all sets, a linked
+pair still shares the rest. Overlap counts are accumulated per pair, and pairs whose sizes
+differ too much or whose count stays below their bound are discarded. What remains is dealt
+into tiles of rows by columns; each tile holds its sets' incidence in sparse form and
+accumulates the whole overlap of its pairs.
 
 The order puts n-grams that a fixed-size counting sketch of all documents finds frequent
 last, so passages that very many documents share seldom make pairs. Documents with equal
@@ -24,6 +26,7 @@ columns are not looked at. Texts may be of any length.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,10 +48,10 @@ from citeweave.llm.components import counted_components
 from citeweave.operators.semifilter import mark_possible
 
 SKETCH_SLICES = 64
-# Members of one row that go into one block at most.
-STAR = 256
 # A set must share one n-gram more of its first ones for each so many that it has.
-GRAMS_PER_SHARED = 40
+GRAMS_PER_SHARED = 20
+# Percent of those that are spared for its most frequent ones.
+SPARED = 60
 # N-grams per block, about.
 BLOCK_GRAMS = 1_500_000
 
@@ -183,12 +186,23 @@ def _may_link(size: Column, other: Column, percent: int) -> Column:
     return 100 * F.least(size, other) >= percent * F.greatest(size, other)
 
 
-def _needed(size: Column, percent: int) -> Column:
+def _shared_first(size: Column, percent: int) -> Column:
     """How many of its first n-grams a set shares with any set linked to it."""
     least = F.ceil(size * percent / 100)
     return F.least(least, 1 + F.floor(size / GRAMS_PER_SHARED))
 
 
+def _spared(size: Column, percent: int) -> Column:
+    """How many of its most frequent first n-grams a set does without."""
+    return F.floor((_shared_first(size, percent) - 1) * SPARED / 100)
+
+
+def _needed(one: Column, two: Column, percent: int) -> Column:
+    """What two linked sets share at least of the n-grams that are left to them."""
+    both = F.least(_shared_first(one, percent), _shared_first(two, percent))
+    return F.greatest(both - F.greatest(_spared(one, percent), _spared(two, percent)), F.lit(1))
+
+
 def _verifier(texts: DataFrame, classes: DataFrame, words: int, percent: int):
     def verify(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("size_a"))
@@ -198,12 +212,10 @@ def _verifier(texts: DataFrame, classes: DataFrame, words: int, percent: int):
         spark = pairs.sparkSession
         sized = stored(spark, sized, "pairs")
         total = sized.agg(F.sum(F.col("size_a") + F.col("size_b"))).first()[0] or 0
-        blocks = 1 + int(total) // BLOCK_GRAMS
-        stars = sized.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR))
-        dealt = sized.join(stars, "a").select(
-            F.pmod(F.xxhash64("a", part), F.lit(blocks)).alias("block"), "a", "b"
-        )
+        # Tiles of rows by columns: a set is in as many as the root of their number, twice.
+        side = math.ceil(math.sqrt(1 + int(total) // BLOCK_GRAMS))
+        row, column = (F.pmod(F.xxhash64(x), F.lit(side)) for x in "ab")
+        dealt = sized.select((row * side + column).alias("block"), "a", "b")
         dealt = stored(spark, dealt, "dealt")
         needed = dealt.select("block", F.col("a").alias("class")).union(dealt.select("block", "b"))
         needed = needed.distinct().join(classes.select("class", "doc_id", "text_key"), "class")
@@ -277,7 +289,8 @@ def similar_documents(
         keys,
         verify,
         lambda a, b: _may_link(a, b, percent),
-        lambda size: _needed(size, percent),
+        lambda a, b: _needed(a, b, percent),
+        lambda size: _spared(size, percent),
     )
     narrow = stored(spark, sets.drop("first", "row"), "sizes")
     dropped(spark, sets)
