@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 
 from citeweave.llm.common import find_words, slices, stored
 
-# Distinct chunks whose ids one Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+# Distinct chunks whose ids one Python worker remembers, and as many older ones, of which
+# those that come again are remembered on.
+REMEMBERED = 500_000
 # Chunks encoded in one call.
 JOINED = 150
 # Rows per chunk in which ranks are counted.
 CHUNK_ROWS = 500_000
 
-_MEMORIES: dict[str, dict[str, bytes]] = {}
+_MEMORIES: dict[str, list[dict[str, bytes]]] = {}
 _TOKENIZERS: dict = {}
 
 
@@ -76,15 +77,18 @@ def _piece_maker(path: str, capacity: int, end_id: int, id_col: str, text_col: s
             _TOKENIZERS[path] = Tokenizer.from_file(path)
             _TOKENIZERS[path].no_truncation()
             _TOKENIZERS[path].no_padding()
-        tokenizer, memory = _TOKENIZERS[path], _MEMORIES.setdefault(path, {})
+        tokenizer, both = _TOKENIZERS[path], _MEMORIES.setdefault(path, [{}, {}])
         end = np.uint32(end_id).tobytes()
         for batch in slices(batches, 512):
             # No token spans an ASCII blank, so a chunk's ids don't depend on its text.
             split = [find_words(t) if t else [] for t in batch.column(text_col).to_pylist()]
-            if len(memory) > REMEMBERED:
-                memory.clear()
+            if len(both[0]) > REMEMBERED:
+                both[:] = {}, both[0]
+            memory, older = both
             new = set().union(*split).difference(memory)
-            memory.update(chunk_ids(tokenizer, list(new)))
+            again = new.intersection(older)
+            memory.update((chunk, older[chunk]) for chunk in again)
+            memory.update(chunk_ids(tokenizer, list(new - again)))
             rows, starts, sizes, sums, numbers = [], [], [], [], []
             for row, chunks in enumerate(split):
                 ids = b"".join([*map(memory.__getitem__, chunks), end])
