@@ -27,7 +27,7 @@ def rebuild_abstract_json(raw: str | Column) -> Column:
     """
     raw = F.col(raw) if isinstance(raw, str) else raw
     lists = F.map_entries(F.from_json(raw, "map<string,array<int>>"))
-    return _bind(
+    return bind(
         lists,
         lambda entries: _join_words(
             F.when(F.forall(entries, lambda e: e["value"].isNotNull()), entries).otherwise(
@@ -49,9 +49,9 @@ def _lists_only(raw: Column) -> Column:
 
 
 def _join_words(entries: Column) -> Column:
-    words = _bind(
+    words = bind(
         entries,
-        lambda some: _bind(
+        lambda some: bind(
             F.transform(some, lambda e: e["key"]),
             lambda keys: _words_in_order(
                 F.when(
@@ -84,6 +84,6 @@ def _last_of_each_key(entries: Column, keys: Column) -> Column:
     )
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``."""
     return F.transform(F.array(value), body)[0]

@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citeweave.functions.abstracts import bind
 from citeweave.session import scratch_dir
 
 # Fixed dictionary: nested, overlapping, inner-word and punctuation entries.
@@ -31,6 +33,9 @@ DICTIONARY = [
     "c++",
 ]
 
+# Tasks that documents are dealt out to, for each core.
+TASKS_PER_CORE = 4
+
 
 class Tables:
     """Lazily read tables of one scale-factor folder."""
@@ -49,17 +54,24 @@ class Tables:
         """Documents where they lie: their files spread them, texts are not moved."""
         return self["documents"]
 
+    def spread(self) -> DataFrame:
+        """Documents dealt out by id to several tasks a core.
+
+        The given documents can be one row group, which one task reads. Texts are moved
+        before anything is made of them, when they are smallest.
+        """
+        parts = TASKS_PER_CORE * self.spark.sparkContext.defaultParallelism
+        return self["documents"].repartition(parts, "doc_id")
+
     def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table that is made once per application and then read from scratch.
 
-        The given documents can be one row group, which one task reads. Works and texts
-        made from them are written with as many files as there are cores, like tables that
-        an ingest has written.
+        Works and texts are made from ``spread`` documents and written where they are made,
+        like tables that an ingest has written.
         """
         if name not in self._read:
             path = scratch_dir(self.spark, name)
-            parts = self.spark.sparkContext.defaultParallelism
-            made = make().repartition(parts)
+            made = make()
             made.write.parquet(path)
             self._read[name] = self.spark.read.schema(made.schema).parquet(path)
         return self._read[name]
@@ -216,44 +228,64 @@ def document_works(t: Tables) -> DataFrame:
 
 
 def _document_texts(t: Tables) -> DataFrame:
-    return t.documents().select(
+    return t.spread().select(
         _document_id(), "source", F.concat(_first_line(), F.lit(" "), "text").alias("text")
     )
 
 
 def _document_works(t: Tables) -> DataFrame:
-    """Words and positions are grouped per document, which a document bounds."""
+    """Words and positions of an id's texts, which lie in one task, make its index there.
+
+    The words of repeated ids stand in one index, as if their texts lay one over another.
+    """
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    placed = t.documents().select("doc_id", F.posexplode(words).alias("pos", "word"))
-    index = (
-        placed.groupBy("doc_id", "word")
-        .agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-        .groupBy("doc_id")
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias(
-                "abstract_inverted_index"
-            )
-        )
+    texts = F.collect_list(F.when(F.col("doc_id").isNotNull(), words))
+    placed = t.spread().withColumn("_texts", texts.over(W.partitionBy("doc_id")))
+    return placed.select(
+        _document_id(),
+        F.lit(None).cast("string").alias("doi"),
+        _first_line().alias("title"),
+        _inverted_index(F.col("_texts")).alias("abstract_inverted_index"),
+        _document_year().alias("publication_year"),
+        F.concat(_document_year().cast("string"), F.lit("-01-01")).alias("publication_date"),
+        F.col("source").alias("type"),
+        _document_cites().alias("cited_by_count"),
+        _counts_by_year().alias("counts_by_year"),
+        F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 3 + 1).cast("string")).alias("updated_date"),
+        F.col("source").alias("source_file"),
     )
-    return (
-        t.documents()
-        .join(index, "doc_id", "left")
-        .select(
-            _document_id(),
-            F.lit(None).cast("string").alias("doi"),
-            _first_line().alias("title"),
-            "abstract_inverted_index",
-            _document_year().alias("publication_year"),
-            F.concat(_document_year().cast("string"), F.lit("-01-01")).alias("publication_date"),
-            F.col("source").alias("type"),
-            _document_cites().alias("cited_by_count"),
-            _counts_by_year().alias("counts_by_year"),
-            F.concat(
-                F.lit("2024-01-0"), (F.col("doc_id") % 3 + 1).cast("string")
-            ).alias("updated_date"),
-            F.col("source").alias("source_file"),
+
+
+def _inverted_index(texts: Column) -> Column:
+    """``MAP<STRING, ARRAY<INT>>``: each word of lists of words with its sorted positions.
+
+    Places are sorted by word, so a word's stand in one piece. Null without words.
+    """
+    places = F.flatten(
+        F.transform(
+            texts,
+            lambda words: F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))),
         )
     )
+    return bind(F.sort_array(places), lambda placed: F.when(F.size(placed) > 0, _by_word(placed)))
+
+
+def _by_word(placed: Column) -> Column:
+    def starts_word(i: Column) -> Column:
+        return (i == 0) | (F.get(placed, i)["word"] != F.get(placed, i - 1)["word"])
+
+    def entry(starts: Column, start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(starts, k + 1), F.size(placed)) - 1
+        positions = F.transform(F.sequence(start, end), lambda i: F.get(placed, i)["pos"])
+        return F.struct(F.get(placed, start)["word"], positions)
+
+    first = F.filter(F.sequence(F.lit(0), F.size(placed) - 1), starts_word)
+    return bind(
+        first,
+        lambda starts: F.map_from_entries(
+            F.transform(starts, lambda start, k: entry(starts, start, k))
+        ),
+    )
 
 
 def document_batches(t: Tables) -> DataFrame:
