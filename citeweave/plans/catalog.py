@@ -272,10 +272,11 @@ def works_to_papers(t):
 
 def _write_works(t: A.Tables) -> str:
     path = scratch_dir(t.spark, "works")
-    works = A.document_works(t).drop("source_file")
-    works.repartition("updated_date").write.partitionBy("updated_date").option(
-        "compression", "gzip"
-    ).json(path)
+    works = A.document_works(t).drop("source_file", "updated_date").columns
+    # Lines are sorted by date, not the wide works that they are made of. Every task writes
+    # its own files, as gzip is read by one task a file.
+    lines = A.document_works(t).select("updated_date", F.to_json(F.struct(*works)).alias("value"))
+    lines.write.partitionBy("updated_date").option("compression", "gzip").text(path)
     return path
 
 
