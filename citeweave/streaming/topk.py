@@ -65,16 +65,32 @@ class Kept:
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """Rows with their cell and order key."""
-        rows = rows if self.where is None else rows.where(self.where)
+        rows = self._celled(rows)
         if "num_matched_concepts" in self.values:
-            rows = rows.withColumn(
-                "num_matched_concepts", F.coalesce("num_matched_concepts", F.lit(1))
-            )
-        parts = [F.coalesce(F.col(v).cast("string"), F.lit("")) for v in self.values]
+            rows = rows.withColumn("num_matched_concepts", _breadth())
+        return rows.withColumn("key", self.key())
+
+    def live_in(self, changes: DataFrame, cells: DataFrame) -> DataFrame:
+        """Placed rows of ``cells`` that stand, from all changes.
+
+        Equal rows have one cell, so changes of other cells go before they are set off.
+        """
+        inside = self._celled(changes).join(cells.select(*CELL), CELL, "left_semi")
+        return self.placed(_live(inside))
+
+    def _celled(self, rows: DataFrame) -> DataFrame:
+        rows = rows if self.where is None else rows.where(self.where)
+        parts = [
+            F.coalesce((_breadth() if v == "num_matched_concepts" else F.col(v)).cast("string"), F.lit(""))
+            for v in self.values
+        ]
         if self.slots:
             parts.append(F.substring(F.md5("paper_id"), 1, SLOT_DIGITS))
-        cell = F.concat_ws("|", *parts) if parts else F.lit("")
-        return rows.withColumns({"cell": cell, "key": self.key()})
+        return rows.withColumn("cell", F.concat_ws("|", *parts) if parts else F.lit(""))
+
+
+def _breadth() -> Column:
+    return F.coalesce("num_matched_concepts", F.lit(1))
 
 
 def _most_cited() -> Column:
@@ -185,10 +201,7 @@ def update_state(
         short = _write(_short_cells(held, merged, kept.needed), f"{path}/short", batch_id)
         if not short.isEmpty():
             so_far = spark.read.parquet(f"{state_path}/changes").where(F.col("batch_id") <= batch_id)
-            # Whole concepts are named to the scan, cells only to the join.
-            wanted = short.select("concept").distinct()
-            pool = kept.placed(_live(so_far.join(wanted, "concept", "left_semi")))
-            pool = pool.join(short, CELL, "left_semi")
+            pool = kept.live_in(so_far, short)
             none = F.lit(None).cast(pool.schema["key"].dataType)
             merged = merged.join(short, CELL, "left_anti").unionByName(pool.withColumn("floor", none))
         _write(_cut(merged, keep), f"{path}/held", batch_id)
@@ -284,7 +297,7 @@ def _by_tiles(
     cells = cells.withColumn("high", _tile(F.col("before") + F.col("n") - 1, kept.tiles))
     whole = held.join(cells.where("low = high").select(*CELL, F.col("low").alias(tile_col)), CELL)
     divided = cells.where("low < high").select(*CELL, "before", "total")
-    rows = kept.placed(_live(changes)).join(divided, CELL)
+    rows = kept.live_in(changes, divided).join(divided, CELL)
     inside = F.row_number().over(W.partitionBy(*CELL).orderBy(F.md5("paper_id"), "paper_id"))
     place = F.col("before") + inside - 1
     rows = rows.withColumn("_place", place).withColumn(tile_col, _tile(F.col("_place"), kept.tiles))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from citeweave.operators import representatives as rep
 from citeweave.operators.consolidate import concept_edges
 from citeweave.operators.semifilter import may_match
+from citeweave.plans import adapters as A
+from citeweave.plans import catalog
 from citeweave.streaming import topk
 from tests.conftest import rows
 
@@ -102,3 +104,55 @@ def test_filter_keeps_every_wanted_key(spark):
         assert kept.where("id % 7 = 0").count() == 715
         assert cells < 1 << 26 or kept.count() == 715
     assert may_match(data, F.col("name"), keys.limit(0), F.col("wanted")).count() == 0
+
+
+def test_changes_of_other_cells_are_not_set_off(spark, fresh_dir):
+    years = [(f"p{i}", 2000 + i % 5, i % 7, i % 3 - 1 or 1) for i in range(200)]
+    changes = spark.createDataFrame(years, "paper_id string, publication_year int, cited_by_count int, sign int")
+    changes = changes.withColumns(
+        {"concept": F.lit("c"), "content": F.lit(0).cast("long"), "num_matched_concepts": F.lit(None).cast("int")}
+    )
+    changes = changes.unionByName(changes.where("cited_by_count = 3").withColumn("sign", F.lit(-1)))
+    changes.write.parquet(f"{fresh_dir}/changes")
+    changes = spark.read.parquet(f"{fresh_dir}/changes")
+    for strategy in ("temporal", "coverage", "hybrid"):
+        kept = topk.kept_by(strategy)
+        every = kept.placed(topk._live(changes))
+        cells = every.select(*topk.CELL).distinct().where("crc32(cell) % 3 = 0")
+        found = kept.live_in(changes, cells)
+        want = every.join(cells, topk.CELL, "left_semi").select(*found.columns)
+        assert rows(found) == rows(want)
+        plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        # The cells are chosen below the sum of the signs, on the changes as they are stored.
+        assert next(i for i, line in enumerate(plan) if "LeftSemi" in line) > next(
+            i for i, line in enumerate(plan) if "sum(sign" in line
+        )
+
+
+def test_a_wave_of_papers_is_read_by_many_tasks(spark, fresh_dir, monkeypatch):
+    orders = [(i, i % 9, "O", 1000.0 * (i % 50), "1-URGENT", f"199{i % 8}-01-01") for i in range(300)]
+    spark.createDataFrame(
+        orders,
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double,"
+        " o_orderpriority string, o_orderdate string",
+    ).withColumn("o_orderdate", F.to_timestamp("o_orderdate")).write.parquet(f"{fresh_dir}/orders.parquet")
+    lines = [(i, j) for i in range(300) for j in range(i % 3 + 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{fresh_dir}/lineitem.parquet")
+    parts = [(j, f"Part {j}") for j in range(3)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{fresh_dir}/part.parquet")
+    files = []
+    monkeypatch.setattr(
+        catalog.topk, "update_representatives",
+        lambda spark, stream, *args, **options: files.append(len(spark.read.parquet(arriving[0]).inputFiles())),
+    )
+    monkeypatch.setattr(catalog.topk, "current_representatives", lambda *args, **options: None)
+    arriving = []
+    scratch = catalog.scratch_dir
+    monkeypatch.setattr(catalog, "scratch_dir", lambda *a: arriving.append(scratch(*a)) or arriving[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalog._arrived(A.Tables(spark, fresh_dir), "citation")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) == 2  # a batch each
+    assert files[0] > 2 and files[1] - files[0] > 2
