@@ -67,7 +67,7 @@ class Tables:
         """A table that is made once per application and then read from scratch.
 
         Works and texts are made from ``spread`` documents and written where they are made,
-        like tables that an ingest has written.
+        like tables that an ingest has written. So are the papers that arrive in waves.
         """
         if name not in self._read:
             path = scratch_dir(self.spark, name)
@@ -178,7 +178,8 @@ def arriving_orders(t: Tables) -> list[DataFrame]:
     outdated one after it; the right version once. What stands in the end are
     ``order_papers`` and ``order_edges``.
     """
-    right = tagged_orders(t).withColumn("updated_date", F.lit("2024-02-01"))
+    right = t.kept("tagged_orders", lambda: tagged_orders(t))
+    right = right.withColumn("updated_date", F.lit("2024-02-01"))
     key = F.substring("id", 2, 20).cast("long")
     wrong = right.withColumns(
         {

@@ -110,22 +110,16 @@ def signal_percent_ranks(t):
 
 
 def _arrived(t: A.Tables, strategy: str, **options) -> DataFrame:
-    """Versions of papers arrive in two waves of two files; the rows after the last one."""
-    arriving = scratch_dir(t.spark, "arriving")
-    for wave in A.arriving_orders(t):
-        wave.repartition(2, "id").write.mode("append").parquet(arriving)
-    papers = t.spark.read.parquet(arriving)
-    stream = t.spark.readStream.schema(papers.schema).option("maxFilesPerTrigger", 2)
+    """Versions of papers arrive in two waves, a batch each; the rows after the last one."""
+    arriving, progress = scratch_dir(t.spark, "arriving"), scratch_dir(t.spark, "progress")
     state = scratch_dir(t.spark, "state")
-    topk.update_representatives(
-        t.spark,
-        stream.parquet(arriving),
-        state,
-        scratch_dir(t.spark, "progress"),
-        [strategy],
-        K,
-        options={strategy: options},
-    )
+    for wave in A.arriving_orders(t):
+        wave.write.mode("append").parquet(arriving)
+        papers = t.spark.read.schema(wave.schema).parquet(arriving)
+        stream = t.spark.readStream.schema(wave.schema).parquet(arriving)
+        topk.update_representatives(
+            t.spark, stream, state, progress, [strategy], K, options={strategy: options}
+        )
     return topk.current_representatives(t.spark, state, papers, strategy, K, **options)
 
 
