@@ -74,17 +74,27 @@ def accepted_versions(
 
 
 def concept_changes(accepted: DataFrame) -> DataFrame:
-    """``concept, paper_id, content``, signals and ``sign``: rows added (1), taken back (-1)."""
+    """``concept, paper_id, content``, signals and ``sign``: rows added (1), taken back (-1).
 
-    def rows(prefix: str, sign: int) -> DataFrame:
+    A paper has one accepted version, so a row that would be taken back and added again is
+    found in that version and left out: the changes of a batch need no setting off.
+    """
+    same = F.lit(True)
+    for column in ("content", *SIGNALS):
+        same = same & F.col(column).eqNullSafe(F.col(f"old_{column}"))
+    none = F.array().cast("array<string>")
+
+    def rows(prefix: str, other: str, sign: int) -> DataFrame:
+        concepts, stays = F.col(f"{prefix}concepts"), F.coalesce(f"{other}concepts", none)
+        left = F.when(same, F.array_except(concepts, stays)).otherwise(concepts)
         return accepted.select(
-            F.explode(f"{prefix}concepts").alias("concept"),
+            F.explode(left).alias("concept"),
             F.col("id").alias("paper_id"),
             *[F.col(f"{prefix}{c}").alias(c) for c in ("content", *SIGNALS)],
             F.lit(sign).alias("sign"),
         )
 
-    return rows("", 1).unionByName(rows("old_", -1))
+    return rows("", "old_", 1).unionByName(rows("old_", "", -1))
 
 
 def net_changes(changes: DataFrame) -> DataFrame:

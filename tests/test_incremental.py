@@ -156,3 +156,24 @@ def test_a_wave_of_papers_is_read_by_many_tasks(spark, fresh_dir, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(files) == 2  # a batch each
     assert files[0] > 2 and files[1] - files[0] > 2
+
+
+def test_changes_of_a_batch_are_set_off_without_a_shuffle(spark):
+    shown = "id string, content long, publication_year int, cited_by_count int, num_matched_concepts int, concepts array<string>"
+    old = ", ".join(f"old_{c}" for c in shown.split(", ")[1:])
+    accepted = spark.createDataFrame(
+        [
+            ("new", 1, 2000, 5, 1, ["a", "b"], None, None, None, None, None),
+            ("same", 2, None, 5, 1, ["a", "b"], 2, None, 5, 1, ["b", "c"]),
+            ("told", 3, 2000, 5, 1, ["a"], 4, 2000, 5, 1, ["a"]),
+            ("cited", 5, 2000, 6, 1, ["a"], 5, 2000, 5, 1, ["a"]),
+        ],
+        f"{shown}, {old}",
+    )
+    changes = topk.concept_changes(accepted)
+    assert rows(changes) == rows(topk.net_changes(changes))
+    assert rows(changes, "paper_id", "concept", "sign") == sorted([
+        ("new", "a", 1), ("new", "b", 1), ("same", "a", 1), ("same", "c", -1),
+        ("told", "a", 1), ("told", "a", -1), ("cited", "a", 1), ("cited", "a", -1),
+    ], key=repr)
+    assert "Exchange" not in changes._jdf.queryExecution().executedPlan().toString()
