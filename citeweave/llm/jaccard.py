@@ -44,7 +44,7 @@ from citeweave.llm.common import (
     window_hashes,
     word_hashes,
 )
-from citeweave.llm.components import counted_components
+from citeweave.llm.components import SKETCH, SKETCH_COLUMNS, counted_components
 from citeweave.operators.semifilter import mark_possible
 
 SKETCH_SLICES = 64
@@ -72,6 +72,13 @@ def set_name(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """The set's sketch, as ``parity_sketches`` describes it."""
+    cells = ((grams >> np.uint64(20)) % np.uint64(64 * SKETCH)).view(np.int64)
+    odd = (np.bincount(cells, minlength=64 * SKETCH) & 1).astype(bool)
+    return np.packbits(odd).view(np.int64)
+
+
 def _sketcher(words: int, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(cells, np.int64)
@@ -115,7 +122,7 @@ def _prefixes(words: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         for batch in slices(batches):
-            sizes, names, first = [], [], []
+            sizes, names, first, drawn = [], [], [], []
             for text in batch.column("text").to_pylist():
                 grams = gram_set(text, words)
                 n = len(grams)
@@ -126,6 +133,7 @@ def _prefixes(words: int, percent: int, shared):
                 least = -(-percent * n // 100)
                 most = n - least + min(least, 1 + n // GRAMS_PER_SHARED)
                 first.append(as_long(grams[order[:most]]))
+                drawn.append(_parities(grams))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -133,8 +141,9 @@ def _prefixes(words: int, percent: int, shared):
                     pa.array(sizes, pa.int64()),
                     pa.array(names, pa.int64()),
                     pa.array(first, pa.list_(pa.int64())),
+                    pa.array(drawn, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_key", "n_shingles", "class", "first"],
+                names=["doc_id", "text_key", "n_shingles", "class", "first", "parities"],
             )
 
     return run
@@ -260,7 +269,8 @@ def similar_documents(
     ranks = spark.sparkContext.broadcast((counts // usual).astype(np.int32))
     sets = rows.mapInArrow(
         _prefixes(words, percent, ranks),
-        "doc_id long, text_key long, n_shingles long, class long, first array<bigint>",
+        "doc_id long, text_key long, n_shingles long, class long, first array<bigint>,"
+        " parities array<bigint>",
     )
     sets = stored(spark, sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
@@ -283,6 +293,12 @@ def similar_documents(
     )
     # Never null: else joins filter one use of the keys, and they are shuffled twice.
     keys = keys.select(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in keys.columns])
+
+    def sketches(ids: DataFrame) -> DataFrame:
+        held = sets.join(ids.withColumnRenamed("id", "class"), "class").dropDuplicates(["class"])
+        drawn = [F.col("parities")[i].alias(c) for i, c in enumerate(SKETCH_COLUMNS)]
+        return held.select(F.col("class").alias("id"), *drawn)
+
     verify = _verifier(texts, classes, words, percent)
     found = counted_components(
         spark,
@@ -291,8 +307,11 @@ def similar_documents(
         lambda a, b: _may_link(a, b, percent),
         lambda a, b: _needed(a, b, percent),
         lambda size: _spared(size, percent),
+        sketches,
+        # Overlap o of n in both sets leaves n - 2 o; o of n - o is the percentage at least.
+        lambda a, b: F.floor((a + b) * (100 - percent) / F.lit(100 + percent)),
     )
-    narrow = stored(spark, sets.drop("first", "row"), "sizes")
+    narrow = stored(spark, sets.drop("first", "parities", "row"), "sizes")
     dropped(spark, sets)
 
     grouped = classes.join(found.withColumnRenamed("id", "class"), "class", "left").select(
