@@ -153,8 +153,9 @@ def canonical(text: Column) -> Column:
 
 
 def digest(text: Column) -> Column:
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    # By way of an array, or the form is worked out once to be compared and once to be hashed.
+    forms = F.array(canonical(text))
+    return F.transform(forms, lambda form: F.when(form != "", F.sha2(form, 256)))[0]
 
 
 def _gnu_notices() -> list[tuple[str, str]]:
