@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from citeweave.llm import components, jaccard, licences, line_dedup
+from citeweave.llm import common, components, jaccard, licences, line_dedup
 
 MEMBERS = 40
 
@@ -67,3 +67,37 @@ def test_a_licence_form_is_worked_out_once(spark):
     texts = spark.range(1).select(F.col("id").cast("string").alias("text"))
     plan = texts.select(licences.digest(F.col("text")).alias("digest"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count(licences.NOT_IN_WORDS) == 1
+
+
+def test_ids_meet_few_of_a_component_they_belong_to(spark, monkeypatch):
+    """A group of which no pivot is linked to most, though neighbours make it one component."""
+    counts, n, reach = _last_verified(monkeypatch), 1000, 200
+    rows = spark.createDataFrame([(1, i, i) for i in range(n)], "key long, id long, value long")
+
+    def verify(pairs):
+        assert pairs.where(F.abs(F.col("a") - F.col("b")) > reach).isEmpty()
+        return common.stored(spark, pairs, "links")
+
+    found = components.counted_components(
+        spark, rows, verify, lambda a, b: F.abs(a - b) <= reach, lambda a, b: F.lit(1)
+    )
+    assert {(r["id"], r["component"]) for r in found.collect()} == {(i, 0) for i in range(1, n)}
+    assert sum(counts) < n * reach / 10
+
+
+def test_ids_with_too_few_shared_keys_are_left_out(spark):
+    # Ids 1 to 3 share one key, 4 and 5 share two.
+    rows = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 1), (3, 3), (4, 4), (5, 4), (4, 5), (5, 5), (6, 1)]
+    table = spark.createDataFrame([(k, i, 10) for k, i in rows], "key long, id long, value long")
+    held = []
+    found = components.counted_components(
+        spark,
+        table,
+        lambda pairs: common.stored(spark, pairs, "links"),
+        lambda a, b: F.lit(True),
+        lambda a, b: F.lit(2),
+        least=lambda value, low: F.lit(2),
+        prepare=lambda ids: held.extend(sorted(r["id"] for r in ids.collect())),
+    )
+    assert held == [1, 2, 3, 4, 5]
+    assert [(r["id"], r["component"]) for r in found.collect()] == [(5, 4)]
