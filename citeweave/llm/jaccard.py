@@ -212,6 +212,16 @@ def _needed(one: Column, two: Column, percent: int) -> Column:
     return F.greatest(both - F.greatest(_spared(one, percent), _spared(two, percent)), F.lit(1))
 
 
+def _least(size: Column, percent: int) -> Column:
+    """What a set shares at least of those n-grams with any set linked to it."""
+    smaller, larger = F.ceil(size * percent / 100), F.floor(size * 100 / F.lit(percent))
+    both = F.least(
+        _shared_first(smaller, percent) - _spared(size, percent),
+        _shared_first(size, percent) - _spared(larger, percent),
+    )
+    return F.greatest(both, F.lit(1))
+
+
 def _verifier(texts: DataFrame, classes: DataFrame, words: int, percent: int):
     def verify(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("size_a"))
@@ -310,6 +320,7 @@ def similar_documents(
         sketches,
         # Overlap o of n in both sets leaves n - 2 o; o of n - o is the percentage at least.
         lambda a, b: F.floor((a + b) * (100 - percent) / F.lit(100 + percent)),
+        lambda size, low: _least(size, percent),
     )
     narrow = stored(spark, sets.drop("first", "parities", "row"), "sizes")
     dropped(spark, sets)
